@@ -51,6 +51,12 @@ def op8_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).drop("payload", "url")
 
 
+def op9_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.simhash_anchors import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op3_chat_windows": """
         WITH turns AS (
