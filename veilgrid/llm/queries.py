@@ -17,6 +17,17 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from veilgrid.llm.common import crc_mod
+    from veilgrid.llm.quality_pairs import fit, quality_scores
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit(docs, labels, crc_mod(F.col("doc_id"), 5) != 0)
+    return quality_scores(docs, model).withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrid.llm.chat_windows import chat_windows, digests
 
