@@ -17,6 +17,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.hpylm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
