@@ -48,6 +48,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veilgrid.llm.piece_sampling import sample_segmentations
+
+    return sample_segmentations(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
