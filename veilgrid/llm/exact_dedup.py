@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilgrid.llm.common import LOWER, UPPER
+from veilgrid.llm.common import LOWER, UPPER, fresh
 
 SALTS = 16
 _KEYS = ["digest", "mark"]
@@ -98,14 +98,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat both id and text one stays. Rows with a null id stay, one a text, where no row with an id has their text.
     """
     kept = exact_dedup(docs, id_col, text_col).where("kept")
+    mine, nth, sha = fresh(docs, "__id"), fresh(docs, "__n"), fresh(docs, "__sha")
+    one = lambda rows, *by: rows.withColumn(nth, F.row_number().over(W.partitionBy(*by).orderBy(F.lit(1)))).where(F.col(nth) == 1)
     named = docs.where(F.col(id_col).isNotNull())
-    ids = kept.select(F.col(id_col).alias("__id"))
-    # The join leaves rows hashed by id, so that the window needs no exchange of its own.
-    pick = W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    named = named.join(ids, named[id_col] == F.col("__id"), "left_semi")
-    named = named.withColumn("__n", F.row_number().over(pick)).where("__n = 1").drop("__n")
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).cast("binary"), 256)
-    nameless = docs.where(F.col(id_col).isNull()).withColumn("__sha", sha)
-    nameless = nameless.join(kept.where(F.col("keep_id").isNull()).select(F.col("text_sha256").alias("__sha")), "__sha", "left_semi")
-    nameless = nameless.withColumn("__n", F.row_number().over(W.partitionBy("__sha").orderBy(F.lit(1)))).where("__n = 1").drop("__n", "__sha")
-    return named.unionByName(nameless)
+    named = named.join(kept.select(F.col(id_col).alias(mine)), F.col(id_col) == F.col(mine), "left_semi")
+    # The join leaves rows hashed by id, so that this needs no exchange of its own.
+    named = one(named, F.col(id_col), F.xxhash64(text_col)).select(docs.columns)
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).cast("binary"), 256)
+    nameless = docs.where(F.col(id_col).isNull()).withColumn(sha, digest)
+    nameless = nameless.join(kept.where(F.col("keep_id").isNull()).select(F.col("text_sha256").alias(sha)), sha, "left_semi")
+    return named.unionByName(one(nameless, sha).select(docs.columns))

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Texts are sampled in groups of about so many characters (a longer text is a group of its own).
 GROUP_CHARS = 3_000_000
@@ -92,27 +93,23 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of piece ids: bytes joined, SPACE as a blank, the dummy prefix off."""
-        out, raw = [], bytearray()
-        byte_of = self._byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
-
-    @property
-    def _byte_of(self) -> dict[int, int]:
-        if not hasattr(self, "_bytes"):
+        if not hasattr(self, "_shown"):
             self._bytes = {i: b for b, i in self.byte_id.items()}
-        return self._bytes
+            self._shown = [p.replace(SPACE, " ") for p in self.pieces]
+            for b in range(128):
+                self._shown[self.byte_id[b]] = chr(b)
+            self._high = {i for b, i in self.byte_id.items() if b >= 128}
+        if self._high.isdisjoint(ids):
+            text = "".join(map(self._shown.__getitem__, ids))
+        else:
+            raw, get = bytearray(), self._bytes.get
+            for i in ids:
+                if (b := get(i)) is not None:
+                    raw.append(b)
+                else:
+                    raw += self._shown[i].encode()
+            text = raw.decode("utf-8", "replace")
+        return text[1:] if text[:1] == " " else text
 
 
 @lru_cache(2)
@@ -189,7 +186,8 @@ class Lattice:
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each node to its unit's end: edges of all paths one after the other, and their numbers."""
         n = len(nodes)
-        live, at, step, taken = np.arange(n), nodes.astype(np.int64), 0, []
+        live = np.argsort(nodes, kind="stable")  # neighbours in memory one after the other
+        at, step, taken = nodes[live].astype(np.int64), 0, []
         while len(live):
             u = _uniform(keys[live], np.full(len(live), step))
             e = np.searchsorted(self.search, at + u)
@@ -386,4 +384,4 @@ def decode_pieces(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
             texts = [None if x is None else v.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))

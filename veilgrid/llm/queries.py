@@ -11,7 +11,7 @@ from veilgrid.llm.common import table
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -51,7 +51,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrid.llm.piece_sampling import sample_segmentations
 
-    return sample_segmentations(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilgrid.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op8_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import StringType, StructField, StructType
 
-from veilgrid.llm.common import LOWER_BYTES, shared_folder, stored
+from veilgrid.llm.common import LOWER_BYTES, fresh, shared_folder, stored
 from veilgrid.llm.components import components
 
 SALTS = 16
@@ -228,3 +230,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = words.join(least, ["root", "spread"]).select("fp", "component_id", F.explode("salts").alias("salt"))
     out = rows.join(words, ["fp", "salt"])
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, blocks: int = 3) -> DataFrame:
+    """The rows of docs whose id is their group's component_id, whole, with docs' columns; of repeated rows one.
+
+    Rows with a null id stay, one a fingerprint, where no row with an id is in reach.
+    """
+    name, nth = fresh(docs, "__key"), fresh(docs, "__n")
+    key = lambda i, fp: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), fp)
+    groups = simhash_groups(docs, id_col, text_col, width, radius, blocks)
+    heads = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(key(F.col(id_col), F.col("fingerprint")).alias(name))
+    at, ids = docs.columns.index(text_col), docs.columns.index(id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [int(simhash([shingle_hashes(t.as_py(), width)])[0]) & (1 << 64) - 1 for t in b.column(at)]
+            keys = [f"{'null' if i is None else i}:{fp:016x}" for i, fp in zip(b.column(ids).to_pylist(), fps)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], [*b.schema.names, name])
+
+    keyed = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
+    kept = keyed.join(heads, name, "left_semi")
+    # The join leaves rows hashed and sorted by key, so that this needs no exchange of its own.
+    return kept.withColumn(nth, F.row_number().over(W.partitionBy(name).orderBy(F.lit(1)))).where(F.col(nth) == 1).select(docs.columns)
