@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilgrid.llm.common import shared_folder, stored
+from veilgrid.llm.common import shared_folder
 
 SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
@@ -32,9 +32,9 @@ MANIFEST = "file string, records bigint, bytes bigint, sha256 string"
 _KEYS = ["sha256", "size"]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], squeeze=None) -> Iterator[pa.RecordBatch]:
     """id, url, payload -> id, salt, url, digests, size, compressed payload."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = squeeze or zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         data = [(t or "").encode() for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -51,6 +51,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What of _pack's rows tells equal payloads."""
+    for b in _pack(batches, bytes):
+        yield b.select(["id", "salt", "sha256", "size"])
+
+
 def _clean(value) -> str:
     """A header value on one line."""
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(value))
@@ -96,9 +102,10 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     spark = pages.sparkSession
     kind = dict(pages.dtypes)[id_col]
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
-    packed = stored(src.mapInArrow(_pack, f"id {kind}, salt int, url string, sha1 string, sha256 binary, size bigint, packed binary"), "packed", f"{folder}/_work")
+    kinds = f"id {kind}, salt int, url string, sha1 string, sha256 binary, size bigint, packed binary"
+    packed, digests = src.mapInArrow(_pack, kinds), src.mapInArrow(_digests, f"id {kind}, salt int, sha256 binary, size bigint")
     classes = (
-        packed.where(F.col("size") >= min_payload)
+        digests.where(F.col("size") >= min_payload)
         .groupBy(*_KEYS, "salt").agg(F.min("id").alias("first"))
         .groupBy(*_KEYS).agg(F.min("first").alias("first"), F.collect_list("salt").alias("salts"))
         .select(*_KEYS, "first", F.explode("salts").alias("salt"))
@@ -108,7 +115,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     rows = packed.join(classes, [*_KEYS, "salt"], "left").withColumn("nth", nth)
     small = F.col("size") < min_payload
     rows = rows.withColumn("response", small | (F.col("id").eqNullSafe(F.col("first")) & (F.col("nth") == 0)))
-    rows = stored(rows.select("id", "url", "sha1", "size", "packed", "response", "nth", F.when(~F.col("response"), F.col("first")).alias("refers_to")), "rows", f"{folder}/_work")
+    rows = rows.select("id", "url", "sha1", "size", "packed", "response", "nth", F.when(~F.col("response"), F.col("first")).alias("refers_to"))
     ranged = rows.withColumn("unnamed", F.col("id").isNull()).repartitionByRange("unnamed", "id", "sha1", "nth").sortWithinPartitions("unnamed", "id", "sha1", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +156,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     ranged.select("id", "url", "sha1", "size", "packed", "response", "nth", "refers_to").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/_manifest_new")
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.move(f"{root}/_manifest_new", f"{root}/manifest")
-    for left in ("_temporary", "_work"):
-        if fs.get_file_info(f"{root}/{left}").type != pafs.FileType.NotFound:
-            fs.delete_dir(f"{root}/{left}")
+    if fs.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
+        fs.delete_dir(f"{root}/_temporary")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -197,7 +203,8 @@ def read_warc(spark: SparkSession, folder: str, id_type: str = "bigint") -> Data
                 yield _rows(rows, number)
 
     kind = "bigint" if number else "string"
-    files = manifest.select("file").repartition(F.col("file"))
+    # A stated number of partitions isn't merged, however small the list of names is.
+    files = manifest.select("file").repartitionByRange(max(1, manifest.count()), "file")
     return files.mapInArrow(run, f"page_id {kind}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind}, payload binary")
 
 
