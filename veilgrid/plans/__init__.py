@@ -1 +1 @@
-""""""
+"""Plans that take more than one job: numbering, lattice search."""
