@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid.plans.storage import drop_folder, shared_folder
+from veilgrid.plans.storage import stored as _stored
+
+__all__ = ["drop_folder", "shared_folder"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The characters that separate words: space and U+0009 to U+000D.
@@ -30,30 +32,9 @@ def crc_mod_py(value, n: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % n
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; where that is unset (tests), under a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark.sparkContext, "_veilgrid_folder", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="veilgrid-")
-            spark.sparkContext._veilgrid_folder = base
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{folder or shared_folder(spark, 'table')}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return _stored(df, name, folder or shared_folder(df.sparkSession, "table"))
 
 
 def fresh(df: DataFrame, name: str) -> str:

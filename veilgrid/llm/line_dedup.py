@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilgrid.llm.common import shared_folder, stored
+
 SALTS = 16
 #: What begins a new line: the ends and beginnings of block elements.
 _BLOCK = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|title|nav|header|footer|article|section|main|aside|body|head|html|blockquote|pre|form|option)\b[^>]*>"
@@ -54,6 +56,8 @@ def line_dedup(
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(host, F.lit("")).alias("host"), lines_of(text).alias("lines"))
     # The key of a row is its content: rows of equal content get equal results.
     rows = rows.withColumn("key", F.md5(F.to_json(F.struct("id", "host", "lines"), {"ignoreNullFields": "false"}).cast("binary")))
+    # Four branches read the lines: extract them once.
+    rows = stored(rows, "lines", shared_folder(pages.sparkSession, "line_dedup"))
     marks = F.transform("lines", lambda s: F.unhex(F.md5(s.cast("binary"))))
     each = rows.select("host", F.explode(F.array_distinct(marks)).alias("line"))
     counts = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
@@ -65,7 +69,7 @@ def line_dedup(
         .where(F.col("n") > ratio * F.col("of"))
         .select("host", "line")
     )
-    places = rows.dropDuplicates(["key"]).select("key", "host", F.posexplode(marks).alias("at", "line")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    places = rows.select("key", "host", F.posexplode(marks).alias("at", "line")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     gone = places.join(common.select("host", "line", salts), ["host", "line", "salt"]).groupBy("key").agg(F.collect_set("at").alias("gone"))
     out = rows.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter("lines", lambda s, i: ~F.array_contains(F.col("gone"), i))
