@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What str.strip() removes.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
@@ -17,7 +18,7 @@ def strip(c: Column) -> Column:
     return F.btrim(F.coalesce(c.cast("string"), F.lit("")), F.lit(BLANKS))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
@@ -124,7 +125,7 @@ def corporate_number_ok(c: Column) -> Column:
 
 def luhn_ok(c: Column) -> Column:
     """13 to 19 digits that pass the Luhn check; null for other strings."""
-    return F.when(c.rlike("^[0-9]{13,19}$"), F.luhn_check(F.when(c.rlike("^[0-9]{13,19}$"), c).otherwise("0")))
+    return F.when(c.rlike("^[0-9]{13,19}$"), F.call_function("luhn_check", F.when(c.rlike("^[0-9]{13,19}$"), c).otherwise("0")))
 
 
 def number_runs(c: Column, kind: str) -> Column:

@@ -7,7 +7,7 @@ import bisect
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WIDTHS = (5, 10, 20, 50, 100)
+WIDTHS = (5, 10, 50, 100)
 _INT = r"^[+-]?[0-9]+\z"
 
 
@@ -123,6 +123,10 @@ class Bins:
 def make(settings: dict):
     """From {'type': numeric | bins | date | prefix | category | exact, ...}."""
     kind = settings.get("type", "exact")
+    if kind == "numeric" and "bins" in settings:
+        if "widths" in settings:
+            raise ValueError("widths or bins, not both")
+        return Bins(settings["bins"])
     if kind == "numeric":
         return Numeric(settings.get("widths", WIDTHS))
     if kind == "bins":
