@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid import streaming
 from veilgrid.functions import names, order
 from veilgrid.functions import text as T
 from veilgrid.operators import compare, diff, gate, generalize, profile, redact, risk
 from veilgrid.operators.anonymize import Config, anonymize
 from veilgrid.operators.draw import draw
 from veilgrid.plans.lattice import Lattice, nodes_at
+from veilgrid.plans.numbering import number_rows
+from veilgrid.plans.storage import shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -500,3 +503,57 @@ def l3_quantifier_audit(spark, d):
     notes = F.when(F.col("doc_id") % 4 == 0, ". All values are always positive. Every case was proved by a theorem.").otherwise(". In every sample the measured rate held.")
     docs = _t(spark, d, "documents").select("doc_id", F.concat("text", notes).alias("text"))
     return compare.quantifier_audit(docs, "doc_id", "text", ["always", "every"])
+
+
+# Streaming twins ---------------------------------------------------------------------------------------------------------
+
+
+def _drained(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Run a streaming query over all that lies in the events table, each batch appended to a table of the shared folder."""
+    folder = shared_folder(spark, "stream")
+    schema = _t(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = make(source)
+    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    q = q.foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{folder}/out")).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("""SELECT event_id, '0000' || CASE WHEN regexp_matches(props, '[A-Za-z0-9+/]{24,}') THEN '1' ELSE '0' END || '0' AS mask FROM events""")
+def x_stream_mask(spark, d):
+    return _drained(spark, d, lambda e: streaming.mask_stream(e).select("event_id", "mask"), "append")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS size FROM events GROUP BY ALL""")
+def x_stream_class_sizes(spark, d):
+    out = _drained(spark, d, lambda e: streaming.class_sizes(e, ["event_type"]), "update")
+    return out.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max("size").alias("size"))
+
+
+@query("""SELECT sha256(user_id || chr(0) || event_type) AS content, 1 AS n FROM events GROUP BY ALL""")
+def x_stream_first_of_content(spark, d):
+    """Within a watermark of ten years all of the table is one window, so the twin of a plain dropDuplicates."""
+    out = _drained(spark, d, lambda e: streaming.first_of_content(e, ["user_id", "event_type"], late="3650 days").select("content"), "append")
+    return out.groupBy("content").agg(F.count("*").alias("n"))
+
+
+# C, H: projections -------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY encode(p_type), encode(p_name), p_partkey) AS place FROM part""")
+def f1_stable_sort(spark, d):
+    """The place of each part in the stable order of its type's and name's bytes."""
+    p = _t(spark, d, "part").select("p_partkey", F.col("p_type").cast("binary").alias("a"), F.col("p_name").cast("binary").alias("b"))
+    return number_rows(p, ["a", "b", "p_partkey"], "place").select("p_partkey", "place")
+
+
+@query("""SELECT 'rows_over_limit' AS code WHERE (SELECT count(*) FROM lineitem) > 5000 UNION ALL SELECT 'budget_zero' UNION ALL SELECT 'many_singletons' WHERE (SELECT 2 * count(*) FILTER (n = 1) > sum(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey, l_quantity))""")
+def e30_plan_warnings(spark, d):
+    return risk.plan_warnings(_t(spark, d, "lineitem"), ["l_partkey", "l_suppkey", "l_quantity"], ["l_returnflag"], [2, 2, 2], 2, 1, 0.0, max_rows=5000, norm=_N)
+
+
+@query("""SELECT doc_id, regexp_replace(lower(sha256(text)), '^', 'sha256:') AS digest, (n_chars > 8388608) AS too_large FROM documents""")
+def a13_file_list(spark, d):
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("digest"), (F.col("n_chars") > 8 << 20).alias("too_large"))
