@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: Texts are sampled in groups of about so many characters (a longer text is a group of its own).
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 4_000_000
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n\t]*|[\n\t]|[^{SPACE}\n\t]+")
 _U = np.uint64
@@ -65,6 +65,7 @@ class Vocabulary:
                 self.byte_id[int(self.pieces[i][3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 normal.append(i)
+        self.ascii_ids = np.array([self.byte_id.get(b, 0) for b in range(128)], np.int32)
         if len(self.byte_id) != 256 or sp.encode(" a", out_type=str)[:1] != [SPACE]:
             raise ValueError("the model has no byte fallback or no dummy prefix")
         for i in normal:
@@ -86,20 +87,29 @@ class Vocabulary:
         keys = np.array([a << 21 | c for a, c in children], np.int64)
         order = np.argsort(keys)
         self.keys, self.to = keys[order], np.array(list(children.values()), np.int64)[order]
-        self.token = np.array(token, np.int64)
+        self.token = np.array(token, np.int32)
+        self.to = self.to.astype(np.int32)
+        self.first = np.full(0x110000, -1, np.int32)  # children of the root, by character
+        for (a, c), to in children.items():
+            if a == 0:
+                self.first[c] = to
         self.piece_log_p = np.full(n, np.nan)
         for i, x in self.log_p.items():
             self.piece_log_p[i] = x
 
     def decode(self, ids) -> str:
         """The text of piece ids: bytes joined, SPACE as a blank, the dummy prefix off."""
+        ids = np.asarray(ids, np.int64)
         if not hasattr(self, "_shown"):
             self._bytes = {i: b for b, i in self.byte_id.items()}
             self._shown = [p.replace(SPACE, " ") for p in self.pieces]
             for b in range(128):
                 self._shown[self.byte_id[b]] = chr(b)
-            self._high = {i for b, i in self.byte_id.items() if b >= 128}
-        if self._high.isdisjoint(ids):
+            self._high = np.zeros(len(self.pieces), bool)
+            self._high[[i for b, i in self.byte_id.items() if b >= 128]] = True
+        high = self._high[ids].any()
+        ids = ids.tolist()
+        if not high:
             text = "".join(map(self._shown.__getitem__, ids))
         else:
             raw, get = bytearray(), self._bytes.get
@@ -122,30 +132,33 @@ class Lattice:
 
     def __init__(self, units: list[str], v: Vocabulary):
         lens = np.array([len(u) for u in units], np.int64)
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
         n = len(codes)
         self.first = np.cumsum(lens) - lens  # of each unit; its last node is first + len, which is no node of its own here
-        stop = np.repeat(self.first + lens, lens)  # a node's unit ends before
+        stop = np.repeat((self.first + lens).astype(np.int32), lens)  # a node's unit ends before
         src, size, tok = [], [], []
-        at, node, k = np.arange(n), np.zeros(n, np.int64), 0
-        while len(at):
-            key = node << 21 | codes[at + k]
-            i = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            hit = v.keys[i] == key
-            at, node = at[hit], v.to[i[hit]]
-            k += 1
+        at, node, k = np.arange(n, dtype=np.int32), v.first[codes], 1
+        at, node = at[node >= 0], node[node >= 0]
+        while True:
             t = v.token[node]
             ends = t >= 0
             src.append(at[ends])
-            size.append(np.full(int(ends.sum()), k))
+            size.append(np.full(int(ends.sum()), k, np.int32))
             tok.append(t[ends])
             on = at + k < stop[at]
             at, node = at[on], node[on]
+            if not len(at):
+                break
+            key = node.astype(np.int64) << 21 | codes[at + k]
+            i = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+            hit = v.keys[i] == key
+            at, node = at[hit], v.to[i[hit]]
+            k += 1
         single = np.zeros(n, bool)
         single[src[0]] = True
-        raw = np.flatnonzero(~single)  # characters that are no piece: an edge of their bytes, numbered below 0
+        raw = np.flatnonzero(~single).astype(np.int32)  # characters that are no piece: an edge of their bytes, numbered below 0
         src.append(raw)
-        size.append(np.ones(len(raw), np.int64))
+        size.append(np.ones(len(raw), np.int32))
         tok.append(-1 - codes[raw])
         src, size, tok = np.concatenate(src), np.concatenate(size), np.concatenate(tok)
         order = np.lexsort((size, src))
@@ -153,10 +166,11 @@ class Lattice:
         log_p = v.piece_log_p[np.maximum(tok, 0)]
         under = tok < 0
         c = -1 - tok[under]
-        n_bytes = 1 + (c >= 0x80) + ((c >= 0x800) & True) + (c >= 0x10000)
+        n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
         log_p[under] = v.byte_log_p * n_bytes
         to = src + size
-        begin = np.searchsorted(src, np.arange(n + 1))
+        del size
+        begin = np.searchsorted(src, np.arange(n + 1, dtype=np.int32))
         # Backward sums, by distance from the unit's end.
         left = stop - np.arange(n) if n else np.zeros(0, np.int64)
         beta = np.zeros(n + 1)
@@ -218,14 +232,29 @@ class _Path:
         self.out = {}  # place -> edges that are taken there
 
 
+def _units(text: str) -> list[str]:
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or "\t" in text or SPACE in text:
+        return _UNITS.findall(SPACE + text.replace(" ", SPACE))
+    return list(filter(None, (SPACE + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")))  # the same, sooner
+
+
+class _Numbers(dict):
+    """Numbers new keys from 0 on."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 def sample_group(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> list[list[tuple]]:
     """Per text its samples in order: (ids, log_prob, perturbed, inclusion); fewer than k if it has no more segmentations."""
-    number: dict[str, int] = {}
-    put = number.setdefault
+    number = _Numbers()
     unit_of, per = [], []
     for t in texts:
-        units = _UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else []
-        unit_of += [put(u, len(number)) for u in units]
+        units = _units(t)
+        unit_of += map(number.__getitem__, units)
         per.append(len(units))
     per = np.array(per, np.int64)
     lattice = Lattice(list(number), v)
@@ -317,6 +346,11 @@ def _ids(tokens: np.ndarray, v: Vocabulary) -> np.ndarray:
     under = np.flatnonzero(tokens < 0)
     if not len(under):
         return tokens.astype(np.int32)
+    code = -1 - tokens[under]
+    if (code < 128).all():  # one byte each
+        out = tokens.astype(np.int32)
+        out[under] = v.ascii_ids[code]
+        return out
     out, last = [], 0
     for j in under.tolist():
         out.append(tokens[last:j])
@@ -356,7 +390,7 @@ def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", tex
         for i, text, samples in zip(ids, texts, found):
             same = text.replace(SPACE, " ")
             for n, (pieces, log_prob, value, inclusion) in enumerate(samples, 1):
-                for c, x in zip(cols, (i, n, log_prob, value, inclusion, v.decode(pieces.tolist()) == same)):
+                for c, x in zip(cols, (i, n, log_prob, value, inclusion, v.decode(pieces) == same)):
                     c.append(x)
                 lens.append(len(pieces))
                 flat.append(pieces)
