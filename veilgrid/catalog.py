@@ -58,6 +58,7 @@ _N = T.strip
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """How identifiable are customers by segment, region and balance band?"""
     return risk.audit(_people(spark, d), _QI, 5, norm=_N)
 
 
