@@ -84,11 +84,18 @@ class Vocabulary:
                 if node == len(token):
                     token.append(-1)
             token[node] = i
-        keys = np.array([a << 21 | c for a, c in children], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.to = keys[order], np.array(list(children.values()), np.int64)[order]
+        # The trie's other edges (node, character) -> node, in a table of at most 1/8 full: a key lies at its hash or in one of the next slots.
+        self.bits = max(10, (8 * len(children)).bit_length())
+        self.keys, self.to = np.full((1 << self.bits) + 64, -1, np.int64), np.zeros((1 << self.bits) + 64, np.int32)
+        self.probes = 1
+        for (a, c), to in children.items():
+            key = a << 21 | c
+            at = slot = key * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - self.bits
+            while self.keys[at] >= 0:
+                at += 1
+            self.keys[at], self.to[at] = key, to
+            self.probes = max(self.probes, at - slot + 1)
         self.token = np.array(token, np.int32)
-        self.to = self.to.astype(np.int32)
         self.first = np.full(0x110000, -1, np.int32)  # children of the root, by character
         for (a, c), to in children.items():
             if a == 0:
@@ -97,6 +104,21 @@ class Vocabulary:
         for i, x in self.log_p.items():
             self.piece_log_p[i] = x
 
+    def children(self, node: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which (node, character) pairs have a child, and those children."""
+        key = node.astype(np.int64) << 21 | char
+        slot = (key.view(_U) * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).view(np.int64)
+        hit = self.keys[slot] == key
+        open_ = np.flatnonzero(~hit & (self.keys[slot] >= 0))
+        for _ in range(self.probes - 1):  # the few that another key's slot holds
+            slot[open_] += 1
+            there = self.keys[slot[open_]]
+            found = there == key[open_]
+            hit[open_[found]] = True
+            open_ = open_[~found & (there >= 0)]
+        hit = np.flatnonzero(hit)
+        return hit, self.to[slot[hit]]
+
     def decode(self, ids) -> str:
         """The text of piece ids: bytes joined, SPACE as a blank, the dummy prefix off."""
         ids = np.asarray(ids, np.int64)
@@ -149,10 +171,8 @@ class Lattice:
             at, node = at[on], node[on]
             if not len(at):
                 break
-            key = node.astype(np.int64) << 21 | codes[at + k]
-            i = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            hit = v.keys[i] == key
-            at, node = at[hit], v.to[i[hit]]
+            hit, node = v.children(node, codes[at + k])
+            at = at[hit]
             k += 1
         single = np.zeros(n, bool)
         single[src[0]] = True
@@ -163,6 +183,7 @@ class Lattice:
         src, size, tok = np.concatenate(src), np.concatenate(size), np.concatenate(tok)
         order = np.lexsort((size, src))
         src, size, tok = src[order], size[order], tok[order]
+        del order, at, node, t, ends, on
         log_p = v.piece_log_p[np.maximum(tok, 0)]
         under = tok < 0
         c = -1 - tok[under]
@@ -240,26 +261,19 @@ def _units(text: str) -> list[str]:
     return list(filter(None, (SPACE + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")))  # the same, sooner
 
 
-class _Numbers(dict):
-    """Numbers new keys from 0 on."""
-
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
-
-
 def sample_group(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> list[list[tuple]]:
     """Per text its samples in order: (ids, log_prob, perturbed, inclusion); fewer than k if it has no more segmentations."""
-    number = _Numbers()
-    unit_of, per = [], []
+    units, per = [], []
     for t in texts:
-        units = _units(t)
-        unit_of += map(number.__getitem__, units)
-        per.append(len(units))
+        own = _units(t)
+        units += own
+        per.append(len(own))
     per = np.array(per, np.int64)
-    lattice = Lattice(list(number), v)
-    unit_of = np.array(unit_of, np.int64)
-    first = lattice.first[unit_of] if len(unit_of) else unit_of
+    different = list(dict.fromkeys(units))
+    number = dict(zip(different, range(len(different))))
+    lattice = Lattice(different, v)
+    first = lattice.first[np.fromiter(map(number.__getitem__, units), np.int64, len(units))]
+    del units, different, number
     starts = np.cumsum(per) - per
     doc_key = _mix(np.array(keys, _U))
     paths: list[list[_Path]] = [[] for _ in texts]
