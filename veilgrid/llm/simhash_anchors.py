@@ -73,6 +73,18 @@ def simhash(groups: list[list[int]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def column_prints(texts, width: int) -> np.ndarray:
+    """Fingerprints of an Arrow column of texts, in groups of about half a million shingles."""
+    fps, held, size = [np.zeros(0, np.int64)], [], 0
+    for text in texts:
+        held.append(shingle_hashes(text.as_py(), width))
+        size += len(held[-1])
+        if size > 500_000:
+            fps.append(simhash(held))
+            held, size = [], 0
+    return np.concatenate([*fps, simhash(held)])
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, fp (the fingerprint's bits as a bigint), salt (by id)."""
 
@@ -80,15 +92,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
         for b in batches:
             ids = b.column(0)
             salts = [xxhash.xxh32_intdigest(repr(i).encode()) % SALTS for i in ids.to_pylist()]
-            fps, held, size = [], [], 0
-            for text in b.column(1):
-                held.append(shingle_hashes(text.as_py(), width))
-                size += len(held[-1])
-                if size > 500_000:
-                    fps.append(simhash(held))
-                    held, size = [], 0
-            fps.append(simhash(held))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(fps)), pa.array(salts, pa.int32())], ["id", "fp", "salt"])
+            fps = column_prints(b.column(1), width)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fps), pa.array(salts, pa.int32())], ["id", "fp", "salt"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp bigint, salt int")
@@ -245,7 +250,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [int(simhash([shingle_hashes(t.as_py(), width)])[0]) & (1 << 64) - 1 for t in b.column(at)]
+            fps = column_prints(b.column(at), width).view(np.uint64).tolist()
             keys = [f"{'null' if i is None else i}:{fp:016x}" for i, fp in zip(b.column(ids).to_pylist(), fps)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string())], [*b.schema.names, name])
 
