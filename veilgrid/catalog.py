@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from veilgrid import streaming
 from veilgrid.functions import names, order
 from veilgrid.functions import text as T
-from veilgrid.operators import compare, diff, gate, generalize, profile, redact, risk
+from veilgrid.operators import cohort, compare, diff, gate, generalize, profile, redact, risk
 from veilgrid.operators.anonymize import Config, anonymize
 from veilgrid.operators.draw import draw
+from veilgrid.operators.suppression import suppression
 from veilgrid.plans.lattice import Lattice, nodes_at
 from veilgrid.plans.numbering import number_rows
 from veilgrid.plans.storage import shared_folder
@@ -558,3 +559,23 @@ def e30_plan_warnings(spark, d):
 def a13_file_list(spark, d):
     docs = _t(spark, d, "documents")
     return docs.select("doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("digest"), (F.col("n_chars") > 8 << 20).alias("too_large"))
+
+
+@query(f"""WITH {_PEOPLE}, g AS (SELECT segment, region, band::INT - ((band::INT % 2) + 2) % 2 AS b1, band::INT - ((band::INT % 4) + 4) % 4 AS b2 FROM people),
+         d AS (SELECT *, count(*) OVER (PARTITION BY segment, region, b1) AS s, count(*) OVER (PARTITION BY region, b1) AS s0, count(*) OVER (PARTITION BY segment, b1) AS s1, count(*) OVER (PARTITION BY segment, region, b2) AS s2 FROM g),
+         c AS (SELECT segment, region, b1, count(*) AS size FROM g GROUP BY ALL HAVING size < 30)
+         SELECT 'dropped_crowds' AS metric, '' AS key, count(*) AS value FROM c UNION ALL SELECT 'dropped_records', '', coalesce(sum(size), 0)::BIGINT FROM c
+         UNION ALL SELECT 'below_k_crowds', '', count(*) FROM c UNION ALL SELECT 'below_k_records', '', coalesce(sum(size), 0)::BIGINT FROM c UNION ALL SELECT 'below_l_crowds', '', 0 UNION ALL SELECT 'below_l_records', '', 0
+         UNION ALL SELECT * FROM (SELECT 'crowd_size', size::VARCHAR, count(*) FROM c GROUP BY size ORDER BY size LIMIT 20)
+         UNION ALL SELECT 'rescued', 'segment', count(*) FILTER (s < 30 AND s0 >= 30) FROM d UNION ALL SELECT 'rescued', 'region', count(*) FILTER (s < 30 AND s1 >= 30) FROM d
+         UNION ALL SELECT 'rescued', 'band', count(*) FILTER (s < 30 AND s2 >= 30) FROM d""")
+def e4_suppression(spark, d):
+    lattice = _lattice(spark, d)
+    return suppression(lattice.base, (0, 0, 1), lattice.tops, _QI, [], 30, 1)
+
+
+@query()
+def e16_cohort_summary(spark, d):
+    """The benchmark's items as text submissions, each with a copy of the documents' shared passages left in."""
+    items = _t(spark, d, "benchmark").select(F.concat(F.lit("group/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return cohort.summary(items, cohort.pairs(items))
