@@ -31,7 +31,8 @@ def test_packs_are_strict():
 def test_verbs(spark, tmp_path):
     (tmp_path / "t.csv").write_text("name,age,city\nAlice,30,Osaka\nBob,30,Osaka\nCarol,40,Kyoto\nDave,40,Kyoto\nEve,25,Nara\n")
     (tmp_path / "u.csv").write_text("name,age,city\nAlice,31,Osaka\nBob,30,Osaka\n")
-    config = {"columns": {"name": {"role": "drop"}, "age": {"role": "qi", "gen": {"type": "numeric", "widths": [10]}}, "city": {"role": "qi"}}, "k": 2, "max_suppression": 0.2}
+    columns = {"city": {"role": "qi"}, "name": {"role": "drop"}} | {"age": {"gen": {"widths": [10], "type": "numeric"}, "role": "qi"}}
+    config = {"max_suppression": 0.2, "k": 2, "columns": columns}
     (tmp_path / "c.json").write_text(json.dumps(config))
     run = lambda *a: (cli.main(list(map(str, a)), out := io.StringIO()), out.getvalue())
     assert run("inspect", tmp_path / "t.csv")[0] == 0

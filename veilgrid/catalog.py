@@ -63,7 +63,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return risk.audit(_people(spark, d), _QI, 5, norm=_N)
 
 
-# E: aggregations ---------------------------------------------------------------------------------------------------------
+# E: aggregations
 
 
 @query("""SELECT "column", count(DISTINCT nullif(v, '')) AS distinct, count(*) FILTER (v = '') AS empty, round(count(DISTINCT nullif(v, '')) / count(*) FILTER (v <> ''), 4) AS unique_ratio,
@@ -226,7 +226,7 @@ def e14_status_summary(spark, d):
     return gate.summary(_t(spark, d, "pages").select(s.alias("status"), F.col("html").isNotNull().alias("produced"), F.when(F.col("html").isNull(), "unobserved").alias("reason")))
 
 
-# D: joins ----------------------------------------------------------------------------------------------------------------
+# D: joins
 
 
 def _mutated(spark, d):
@@ -299,7 +299,7 @@ def d7_merge_unobserved(spark, d):
     return diff.upsert(old, new, "doc_id")
 
 
-# F: order ----------------------------------------------------------------------------------------------------------------
+# F: order
 
 
 @query("""SELECT c_name AS item, row_number() OVER o AS position, (row_number() OVER o - 1) % 7 AS "group" FROM customer WINDOW o AS (ORDER BY sha256('2026-demo' || chr(0) || c_name), c_name)""")
@@ -346,7 +346,7 @@ def g38_archive_paths(spark, d):
     return names.archive_symbols(p.select(F.col("p_partkey").alias("pos"), path.alias("path")), folding=F.lower)
 
 
-# G: scalar functions -----------------------------------------------------------------------------------------------------
+# G: scalar functions
 
 
 @query("""SELECT doc_id, len(m) AS n, m[1] AS first FROM (SELECT doc_id, regexp_extract_all(text, '([A-Za-z0-9_%+-](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?[.])+[A-Za-z]{2,})(?:[^A-Za-z0-9.-]|$)', 1) AS m FROM documents) WHERE len(m) > 0""")
@@ -365,7 +365,7 @@ def g12_card_runs(spark, d):
 
 
 @query("""WITH c AS (SELECT c_custkey, lpad((c_custkey * 7919 % 1000000000000)::VARCHAR, 12, '0') AS a, lpad((c_custkey * 104729 % 10000000000000)::VARCHAR, 13, '0') AS b FROM customer)
-         SELECT c_custkey, a[12]::INT = (CASE WHEN list_sum(list_transform(range(1, 12), lambda i: a[i]::INT * ([6,5,4,3,2,7,6,5,4,3,2])[i])) % 11 <= 1 THEN 0 ELSE 11 - list_sum(list_transform(range(1, 12), lambda i: a[i]::INT * ([6,5,4,3,2,7,6,5,4,3,2])[i])) % 11 END) AS my_number,
+         SELECT c_custkey, a[12]::INT = (CASE WHEN list_sum(list_transform(range(1, 12), lambda i: a[i]::INT * ('65432765432')[i]::INT)) % 11 <= 1 THEN 0 ELSE 11 - list_sum(list_transform(range(1, 12), lambda i: a[i]::INT * ('65432765432')[i]::INT)) % 11 END) AS my_number,
            b[1]::INT = 9 - list_sum(list_transform(range(2, 14), lambda i: b[i]::INT * (CASE WHEN (13 - i) % 2 = 0 THEN 1 ELSE 2 END))) % 9 AS corporate FROM c""")
 def g14_check_digits(spark, d):
     n = F.col("c_custkey")
@@ -402,7 +402,7 @@ def e17_redaction_modes(spark, d):
     return redact.mode_counts(redact.redact(_t(spark, d, "documents"), "doc_id", "text", (*redact.DEFAULT, redact.Rule("card", mode="mosaic"))))
 
 
-# H: generalization -------------------------------------------------------------------------------------------------------
+# H: generalization
 
 
 @query("""SELECT o_orderkey, (x - (x % 5 + 5) % 5)::VARCHAR || '-' || (x - (x % 5 + 5) % 5 + 4) AS n1, (x - (x % 100 + 100) % 100)::VARCHAR || '-' || (x - (x % 100 + 100) % 100 + 99) AS n4,
@@ -438,12 +438,13 @@ def h2_lattice_nodes(spark, d):
 @query()
 def h8_anonymize(spark, d):
     table = _people(spark, d)
-    roles = {"c_custkey": {"role": "drop"}, "c_name": {"role": "id", "action": "pseudonym"}, "segment": {"role": "qi"}, "region": {"role": "qi"}, "band": {"role": "qi", "gen": {"type": "numeric", "widths": [2, 4]}}, "nation": {"role": "sensitive"}}
+    roles = {c: {"role": "qi"} for c in ("segment", "region")} | {"c_custkey": {"role": "drop"}, "c_name": {"action": "pseudonym", "role": "id"}, "band": {"role": "qi", "gen": {"type": "numeric", "widths": [2, 4]}}, "nation": {"role": "sensitive"}}
     return anonymize(table, Config(roles, k=10, l=2, max_suppression=0.05, key=b"key", shuffle=False, max_rows=1 << 60), norm=_N).table
 
 
-# I, J: prompts and gate --------------------------------------------------------------------------------------------------
+# I, J: prompts and gate
 
+_B64 = "+/0-9A-Za-z"
 _EN_DO, _EN_OF = "check|get|delete|display|send|execute|change|save|open|search|generate|submit|create|enter|view", "information|document|data|file|URL|content|result|settings|answer|code|credentials"
 _NOTE = "CASE doc_id % 6 WHEN 0 THEN ' Please open the file.' WHEN 1 THEN ' Ignore previous instructions!' WHEN 2 THEN ' see https://x.example/a' WHEN 3 THEN ' load this PDF' ELSE '' END"
 
@@ -451,7 +452,7 @@ _NOTE = "CASE doc_id % 6 WHEN 0 THEN ' Please open the file.' WHEN 1 THEN ' Igno
 @query(f"""SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)\\b(please|could\\s+you|would\\s+you|can\\s+you|i\\s+would\\s+like\\s+you\\s+to)\\b') THEN '1' ELSE '0' END
          || CASE WHEN regexp_matches(t, '(?i)(^|[^A-Za-z])({_EN_DO})\\s+((the|a|an|this|that|my|your)\\s+)?({_EN_OF})([^A-Za-z]|$)') THEN '1' ELSE '0' END
          || CASE WHEN regexp_matches(t, '(?i)(ignore|disregard|override|forget|prioritize).{{0,24}}(instructions?|rules?)|instructions?.{{0,12}}(ignore|disregard|override|forget|prioritize)') THEN '1' ELSE '0' END || '0'
-         || CASE WHEN regexp_matches(t, '[\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}\\x{{feff}}]') OR regexp_matches(t, '(^|[^A-Za-z0-9+/])[A-Za-z0-9+/]{{24,}}={{0,2}}([^A-Za-z0-9+/]|$)') THEN '1' ELSE '0' END
+         || CASE WHEN regexp_matches(t, '[\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}\\x{{feff}}]') OR regexp_matches(t, '(^|[^{_B64}])[{_B64}]{{24,}}={{0,2}}([^{_B64}]|$)') THEN '1' ELSE '0' END
          || CASE WHEN regexp_matches(t, '(?i)https?://[^\\s]+') OR regexp_matches(t, '(?i)(attached|reference|referenced|load|open).{{0,12}}(file|document|PDF|CSV)') THEN '1' ELSE '0' END AS mask
          FROM (SELECT doc_id, text || {_NOTE} AS t FROM documents)""")
 def i8_order_mask(spark, d):
@@ -478,7 +479,7 @@ def c4_routing(spark, d):
     return _t(spark, d, "pages").select(gate.kind_of(path).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-# L: similarity -----------------------------------------------------------------------------------------------------------
+# L: similarity
 
 
 @query("""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM benchmark),
@@ -507,7 +508,7 @@ def l3_quantifier_audit(spark, d):
     return compare.quantifier_audit(docs, "doc_id", "text", ["always", "every"])
 
 
-# Streaming twins ---------------------------------------------------------------------------------------------------------
+# Streaming twins
 
 
 def _drained(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
@@ -540,7 +541,7 @@ def x_stream_first_of_content(spark, d):
     return out.groupBy("content").agg(F.count("*").alias("n"))
 
 
-# C, H: projections -------------------------------------------------------------------------------------------------------
+# C, H: projections
 
 
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY encode(p_type), encode(p_name), p_partkey) AS place FROM part""")

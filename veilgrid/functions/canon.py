@@ -38,8 +38,8 @@ def es_number(x) -> str:
         return sign + digits[:k] + "." + digits[k:]
     if -6 < k <= 0:
         return sign + "0." + "0" * -k + digits
-    e = k - 1
-    return sign + digits[0] + ("." + digits[1:] if n > 1 else "") + "e" + ("+" if e > 0 else "-") + str(abs(e))
+    head, tail = digits[:1], digits[1:]
+    return f"{sign}{head}{'.' * bool(tail)}{tail}e{k - 1:+d}"
 
 
 def _shortest(x: float) -> tuple[str, int]:

@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType
 
 from veilgrid.plans.numbering import number_rows
 
-SYMBOLS = ("not_utf8_name", "reserved_name_win", "forbidden_char_win", "trailing_dot_or_space", "too_long_name", "too_long_path", "case_collision", "normalization_collision")
-_RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(10)), *(f"LPT{i}" for i in range(1, 10))]
+SYMBOLS = "not_utf8_name reserved_name_win forbidden_char_win trailing_dot_or_space too_long_name too_long_path case_collision normalization_collision".split()
+_RESERVED = [*"CON PRN AUX NUL".split(), *(f"COM{i}" for i in range(10)), *(f"LPT{i}" for i in range(1, 10))]
 
 
 @F.pandas_udf(StringType())

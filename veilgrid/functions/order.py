@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-AXES = ("H2", "H3", "H4", "H5", "H6", "H7")
+AXES = tuple(f"H{i}" for i in range(2, 8))
 _DO_JA = "確認 取得 削除 表示 送信 実行 変更 保存 開く 検索 生成 提出 作成 入力 閲覧".split()
 _DO_EN = "check get delete display send execute change save open search generate submit create enter view".split()
 _OF_JA = "情報 資料 データ ファイル 内容 結果 設定 文書 回答 コード 認証情報".split()
@@ -25,15 +25,17 @@ PAIR_JA = f"(?:{_any([*_OF_JA, 'URL'])})[をは](?:{_any(_DO_JA)})"
 PAIR_EN = rf"(?i)(?<![A-Za-z])(?:{_any(_DO_EN)})\s+(?:(?:the|an?|th(?:is|at)|my|your)\s+)?(?:{_any(_OF_EN)})(?![A-Za-z])"
 _UNDO, _RULE = "ignore|disregard|override|forget|prioritize", r"(?:system\s+)?instructions?|rules?"
 INTERFERENCE = (
-    "(?id)(?:(?:以前の|上の|これまでの|システム)指示|優先順位|役割)[をは].{0,12}?(?:無視|変更|上書き|最優先|忘れ)"
+    "(?id)(?:(?:以前の|上の|これまでの|システム)指示|優先順位|役割)[をは].{0,12}?(?:忘れ|最優先|無視|上書き|変更)"
     rf"|(?:{_UNDO}).{{0,24}}(?:{_RULE})|(?:(?:system|previous|above)\s+)?instructions?.{{0,12}}(?:{_UNDO})"
 )
 CONTROLS = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}]"
-BASE64 = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{24,}={0,2}(?![A-Za-z0-9+/])"
+_B64 = "+/0-9A-Za-z"
+BASE64 = rf"(?<![{_B64}])[{_B64}]{{24,}}={{0,2}}(?![{_B64}])"
 URL = r"(?iU)https?://\S+"
-FILES = r"(?id)(?:添付|参照|読み込んで|開いて).{0,12}(?:ファイル|文書|PDF|CSV)|(?:attached|referenced?|load|open).{0,12}(?:file|document|PDF|CSV)"
-ACTION = rf"(?i)(?<![A-Za-z])(?:{_any(_DO_JA + _DO_EN)})(?![A-Za-z])"
-TARGET = rf"(?i)(?<![A-Za-z])(?:{_any(_OF_JA + _OF_EN)})(?![A-Za-z])"
+FILES = r"(?id)(?:開いて|読み込んで|参照|添付).{0,12}(?:CSV|PDF|文書|ファイル)|(?:open|load|referenced?|attached).{0,12}(?:CSV|PDF|document|file)"
+_L = "a-zA-Z"
+ACTION = rf"(?i)(?<![{_L}])(?:{_any(_DO_JA + _DO_EN)})(?![{_L}])"
+TARGET = rf"(?i)(?<![{_L}])(?:{_any(_OF_JA + _OF_EN)})(?![{_L}])"
 
 
 def _patterns(rules: dict[str, str]) -> list[tuple[str, str, str]]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -15,8 +15,8 @@ from veilgrid.operators.generalize import make, resolve
 from veilgrid.operators.risk import diagnose, measure
 from veilgrid.plans.lattice import Infeasible, Lattice, SearchLimit
 
-ROLES = ("id", "qi", "sensitive", "keep", "drop")
-REFUSALS = ("no_records", "resource_limit_rows", "missing_exceeds_budget", "infeasible", "resource_limit_search", "verification_failed")
+ROLES = "id qi sensitive keep drop".split()
+REFUSALS = "no_records resource_limit_rows missing_exceeds_budget infeasible resource_limit_search verification_failed".split()
 
 
 @dataclass
@@ -24,10 +24,10 @@ class Config:
     """columns: name -> {'role': one of ROLES, 'action': drop or pseudonym (id), 'gen': generalizer settings (qi)}."""
 
     columns: dict[str, dict]
-    k: int = 5
-    l: int = 1
-    max_suppression: float = 0.05
     missing: str = "star"
+    max_suppression: float = 0.05
+    l: int = 1
+    k: int = 5
     shuffle: bool = True
     seed: int = 0
     max_rows: int = 200_000
@@ -56,12 +56,15 @@ class Result:
 
 def parse_config(obj: dict, **over) -> Config:
     """From the JSON form; keys that begin with _ are notes."""
-    obj = {k: v for k, v in obj.items() if not k.startswith("_")} | over
-    known = {"columns", "k", "l", "max_suppression", "missing_value_policy", "shuffle", "shuffle_seed", "max_rows", "max_evals", "key", "lang"}
-    if set(obj) - known:
-        raise ValueError(f"unknown setting: {sorted(set(obj) - known)[0]}")
-    names = {"missing_value_policy": "missing", "shuffle_seed": "seed"}
-    return Config(**{names.get(k, k): v for k, v in obj.items() if k != "lang"})
+    settings = dict(filter(lambda kv: kv[0][:1] != "_", obj.items())) | over
+    settings.pop("lang", None)
+    for theirs, ours in (("missing_value_policy", "missing"), ("shuffle_seed", "seed")):
+        if theirs in settings:
+            settings[ours] = settings.pop(theirs)
+    unknown = set(settings) - {f.name for f in fields(Config)}
+    if unknown:
+        raise ValueError(f"unknown setting: {min(unknown)}")
+    return Config(**settings)
 
 
 def anonymize(df: DataFrame, cfg: Config, order: list[str] | None = None, norm=nfc_strip) -> Result:
@@ -103,7 +106,7 @@ def anonymize(df: DataFrame, cfg: Config, order: list[str] | None = None, norm=n
     try:
         found = lattice.run()
     except Infeasible:
-        return Result("refused", "infeasible", report={"records": n, "k_requested": cfg.k, "l_requested": cfg.l})
+        return Result("refused", "infeasible", report={"records": n, "k": cfg.k, "l": cfg.l})
     except SearchLimit:
         return Result("refused", "resource_limit_search", report={"evaluations": len(lattice.known), "max_evals": cfg.max_evals})
 
@@ -129,11 +132,10 @@ def anonymize(df: DataFrame, cfg: Config, order: list[str] | None = None, norm=n
         return Result("refused", "verification_failed", report={"diagnosis": [r.asDict() for r in diagnose(table, qi, sens, cfg.k, cfg.l, norm).collect()], "levels": found.levels})
     before = measure(df, qi, [], norm).first().asDict()
     report = {
-        "input": {"records": n, "columns": len(header)},
-        "result": {"records_out": m["records"], "suppressed": n - m["records"], "missing_suppressed": missing},
-        "privacy": {"quasi_identifiers": qi, "k_requested": cfg.k, "k_achieved": m["k"], "crowds": m["crowds"], "records_alone": m["records_in_crowd_of_1"],
-                    "diversity": {c: m[f"l_{c}"] for c in sens}, "before": {"records_alone": before["records_in_crowd_of_1"], "smallest_crowd": before["k"]}},
-        "information_loss": {"height": sum(found.levels), "max_height": sum(tops), "precision_loss": sum(v / t for v, t in zip(found.levels, tops)) / len(tops)},
-        "levels": dict(zip(qi, found.levels)), "search": {"evaluations": found.evaluations, "refinement_truncated": found.truncated}, "verification": "passed",
+        "records_in": n, "records_out": m["records"], "suppressed": n - m["records"], "missing_suppressed": missing,
+        "quasi_identifiers": qi, "k": m["k"], "crowds": m["crowds"], "alone": m["records_in_crowd_of_1"], "diversity": {c: m[f"l_{c}"] for c in sens},
+        "alone_before": before["records_in_crowd_of_1"], "k_before": before["k"],
+        "height": sum(found.levels), "of_height": sum(tops), "precision_loss": sum(v / t for v, t in zip(found.levels, tops)) / len(tops),
+        "levels": dict(zip(qi, found.levels)), "evaluations": found.evaluations, "truncated": found.truncated,
     }
     return Result("anonymized", None, table, report)

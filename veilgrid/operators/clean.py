@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 CATEGORIES = ("author", "time", "place", "device", "software", "comment", "thumbnail", "other")
 _PNG = b"\x89PNG\r\n\x1a\n"
-_KEEP = {b"IHDR", b"PLTE", b"IDAT", b"IEND", b"tRNS", b"gAMA", b"cHRM", b"sRGB", b"iCCP", b"sBIT", b"bKGD", b"pHYs", b"acTL", b"fcTL", b"fdAT"}
+_KEEP = {*b"IHDR PLTE IDAT IEND tRNS gAMA cHRM sRGB iCCP sBIT bKGD pHYs acTL fcTL fdAT".split()}
 _WORDS = {"author": "author", "artist": "author", "creator": "author", "copyright": "author", "date": "time", "time": "time", "gps": "place", "location": "place", "make": "device", "model": "device", "software": "software", "comment": "comment", "description": "comment", "title": "comment"}
 _EXIF = {0x010F: "device", 0x0110: "device", 0x0131: "software", 0x0132: "time", 0x013B: "author", 0x8298: "author", 0x010E: "comment", 0x9003: "time", 0x9004: "time", 0x9286: "comment", 0xA430: "author", 0xA431: "device", 0xA433: "device", 0xA434: "device", 0xA435: "device"}
 
@@ -173,10 +173,18 @@ def clean_jpeg(data: bytes) -> tuple[bytes, Counter]:
     return b"\xff\xd8" + b"".join(struct.pack(">BBH", 0xFF, m, len(b) + 2) + b for m, b in kept) + scan, found
 
 
+_OOXML = "http://schemas.openxmlformats.org/"
+
+
+def _empty(element: str, space: str) -> bytes:
+    prefix, _, _ = element.rpartition(":")
+    return f'<?xml version="1.0" encoding="UTF-8"?><{element} xmlns{":" + prefix if prefix else ""}="{_OOXML}{space}"/>'.encode()
+
+
 _EMPTY = {
-    "docProps/core.xml": b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<cp:coreProperties xmlns:cp="http://schemas.openxmlformats.org/package/2006/metadata/core-properties"/>',
-    "docProps/app.xml": b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"/>',
-    "docProps/custom.xml": b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<Properties xmlns="http://schemas.openxmlformats.org/officeDocument/2006/custom-properties"/>',
+    "docProps/core.xml": _empty("cp:coreProperties", "package/2006/metadata/core-properties"),
+    "docProps/app.xml": _empty("Properties", "officeDocument/2006/extended-properties"),
+    "docProps/custom.xml": _empty("Properties", "officeDocument/2006/custom-properties"),
 }
 
 

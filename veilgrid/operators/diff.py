@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-STATES = ("same", "changed", "removed", "added")
+STATES = "same changed removed added".split()
 
 
 def _text(c):

@@ -16,7 +16,7 @@ from veilgrid.functions import text as T
 from veilgrid.operators.profile import cells
 
 MAX_BYTES, MAX_RULES = 1 << 20, 200
-ROLES, EVIDENCE = ("id", "qi", "sensitive", "keep"), ("name_and_value", "value", "name")
+ROLES, EVIDENCE = "id qi sensitive keep".split(), ("name_and_value", "value", "name")
 
 
 @dataclass(frozen=True)
@@ -34,11 +34,15 @@ class Rule:
 
 
 def normal_name(name: str) -> str:
-    return unicodedata.normalize("NFKC", name).strip().lower()
+    return unicodedata.normalize("NFKC", name.strip()).lower().strip()
 
 
-_PREFECTURES = "北海道 青森県 岩手県 宮城県 秋田県 山形県 福島県 茨城県 栃木県 群馬県 埼玉県 千葉県 東京都 神奈川県 新潟県 富山県 石川県 福井県 山梨県 長野県 岐阜県 静岡県 愛知県 三重県 滋賀県 京都府 大阪府 兵庫県 奈良県 和歌山県 鳥取県 島根県 岡山県 広島県 山口県 徳島県 香川県 愛媛県 高知県 福岡県 佐賀県 長崎県 熊本県 大分県 宮崎県 鹿児島県 沖縄県".split()
-_AREAS = {"北海道・東北": (0, 7), "関東": (7, 14), "中部": (14, 23), "近畿": (23, 30), "中国": (30, 35), "四国": (35, 39), "九州・沖縄": (39, 47)}
+_AREAS = {
+    "北海道・東北": "北海道 青森県 岩手県 宮城県 秋田県 山形県 福島県", "関東": "茨城県 栃木県 群馬県 埼玉県 千葉県 東京都 神奈川県",
+    "中部": "新潟県 富山県 石川県 福井県 山梨県 長野県 岐阜県 静岡県 愛知県", "近畿": "三重県 滋賀県 京都府 大阪府 兵庫県 奈良県 和歌山県",
+    "中国": "鳥取県 島根県 岡山県 広島県 山口県", "四国": "徳島県 香川県 愛媛県 高知県", "九州・沖縄": "福岡県 佐賀県 長崎県 熊本県 大分県 宮崎県 鹿児島県 沖縄県",
+}
+_PREFECTURES = {p: [area] for area, those in _AREAS.items() for p in those.split()}
 BUILTIN = (
     Rule("person_name", ("name", "氏名", "名前", "full_name"), role="id"),
     Rule("email", ("email", "mail", "メール"), check={"email": True}, role="id", leak=True),
@@ -46,8 +50,8 @@ BUILTIN = (
     Rule("my_number", ("my_number", "個人番号"), check={"my_number": True}, role="id", leak=True),
     Rule("card", ("card", "card_number", "カード番号"), check={"luhn": True}, role="id", leak=True),
     Rule("postal", ("zip", "postal", "郵便番号"), shape="###-####", role="qi", gen={"type": "prefix", "length": 8}),
-    Rule("prefecture", ("prefecture", "都道府県"), check={"set": _PREFECTURES}, role="qi", gen={"type": "category", "hierarchy": {p: [next(a for a, (x, y) in _AREAS.items() if x <= i < y)] for i, p in enumerate(_PREFECTURES)}}),
-    Rule("age", ("age", "年齢"), check={"range": [0, 130]}, role="qi", gen={"type": "numeric", "widths": [5, 10, 50]}),
+    Rule("prefecture", ("prefecture", "都道府県"), check={"set": [*_PREFECTURES]}, role="qi", gen={"type": "category", "hierarchy": _PREFECTURES}),
+    Rule("age", ("age", "年齢"), check={"range": [0, 130]}, role="qi", gen={"type": "numeric", "widths": [10, 20, 100]}),
     Rule("birth_date", ("birth_date", "birthday", "生年月日"), shape="####-##-##", role="qi", gen={"type": "date"}),
     Rule("sex", ("sex", "gender", "性別"), check={"set": ["M", "F", "男", "女", "その他"]}, role="qi"),
     Rule("diagnosis", ("diagnosis", "disease", "診断", "病名"), role="sensitive"),

@@ -10,7 +10,7 @@ import numpy as np
 from veilgrid.operators.clean import Unreadable, _png, png_chunks
 
 MAX_PIXELS = 64_000_000
-MODES = ("delete", "mosaic", "label", "noise", "decor", "replace")
+MODES = "decor delete label mosaic noise replace".split()
 
 
 def parse_region(spec: str) -> tuple[int, int, int, int, str, str]:

@@ -19,7 +19,7 @@ def inspect(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, distinct, empty, unique_ratio (4 places), shape (integer, date or text), of stripped values; all columns in one grouping."""
     c = cells(df, columns or df.columns).select("column", T.strip(F.col("value")).alias("v")).groupBy("column", "v").agg(F.count("*").alias("n"))
     full = F.col("v") != ""
-    is_int, is_date = F.col("v").rlike(r"(?U)^[+-]?\d+\z"), F.col("v").rlike(r"(?U)^\d{4}-\d{2}-\d{2}\z")
+    is_int, is_date = F.col("v").rlike(r"(?U)^[+-]?\d+\z"), F.col("v").rlike(r"(?U)^\d\d\d\d(?:-\d\d){2}\z")
     c = c.groupBy("column").agg(F.count_if(full).alias("distinct"), F.coalesce(F.sum(F.when(~full, F.col("n"))), F.lit(0)).alias("empty"), F.sum("n").alias("n"), F.bool_and(~full | is_int).alias("i"), F.bool_and(~full | is_date).alias("d"))
     shape = F.when((F.col("distinct") > 0) & F.col("i"), "integer").when((F.col("distinct") > 0) & F.col("d"), "date").otherwise("text")
     held = F.col("n") - F.col("empty")

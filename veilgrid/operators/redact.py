@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import text as T
 
-MODES = ("delete", "mosaic", "label", "alias", "decor", "replace", "noise")
+MODES = "alias decor delete label mosaic noise replace".split()
 _VIEW = {0xFF01 + i: 0x21 + i for i in range(94)} | {ord(c): "-" for c in "‐‑‒–—―−"}
 _LONG = re.compile("(?<=[0-9])[ーｰ](?=[0-9])")
 _POOLS = {
@@ -61,8 +61,9 @@ class Rule:
 
 
 def _my_number(s: str) -> bool:
-    r = sum(int(d) * w for d, w in zip(s, (6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2))) % 11
-    return int(s[11]) == (0 if r <= 1 else 11 - r)
+    *front, last = map(int, s)
+    rest = sum(a * int(b) for a, b in zip(front, "65432765432")) % 11
+    return last == (0 if rest < 2 else 11 - rest)
 
 
 def _corporate(s: str) -> bool:
@@ -95,10 +96,9 @@ def parse_rules(lines: str) -> list[Rule]:
     """One rule a line: `rule PATTERN:mode[:arg]` or `builtin NAME[:mode[:arg]]`; # begins a comment line; a pattern begins with + to stand as a word and ~ to ignore case."""
     out = []
     for line in lines.splitlines():
-        line = line.strip()
-        if not line or line.startswith("#"):
+        verb, _, spec = line.strip().partition(" ")
+        if verb[:1] in ("", "#"):
             continue
-        verb, _, spec = line.partition(" ")
         parts = spec.strip().split(":")
         if verb == "rule" and len(parts) >= 2:
             p, word, ci = parts[0], False, False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import contextlib
 
 BOMS = ((codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 CANDIDATES = ("utf-8", "cp932", "euc_jp", "iso2022_jp", "utf-16", "cp1252", "latin-1")
@@ -32,14 +33,10 @@ def decode_table(data: bytes, encoding: str | None = None) -> tuple[str, list[st
             return data.decode(encoding), []
         except (UnicodeDecodeError, LookupError):
             raise Refused("undecodable", encoding) from None
-    try:
-        return data.decode("utf-8"), []
-    except UnicodeDecodeError:
-        pass
-    try:
-        return data.decode("cp932"), ["input encoding: cp932 (auto)"]
-    except UnicodeDecodeError:
-        raise Refused("undecodable") from None
+    for name, notices in (("utf-8", []), ("cp932", ["input encoding: cp932 (auto)"])):
+        with contextlib.suppress(UnicodeDecodeError):
+            return data.decode(name), notices
+    raise Refused("undecodable")
 
 
 def decode_text(data: bytes, encoding: str | None = None) -> dict:

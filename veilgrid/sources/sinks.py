@@ -59,17 +59,21 @@ def write_table(df: DataFrame, path: str, kind: str | None = None) -> str:
 
 def canonical(obj: dict) -> bytes:
     """Sorted keys, no blanks, UTF-8, one line end."""
-    return (json.dumps(obj, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
+    return (json.dumps(obj, ensure_ascii=False, separators=tuple(",:"), sort_keys=True) + "\n").encode()
+
+
+def _without(receipt: dict, *names: str) -> dict:
+    return {x: receipt[x] for x in receipt.keys() - set(names)}
 
 
 def digest(receipt: dict) -> str:
     """sha256 of the canonical form without the digest itself and the line end."""
-    return "sha256:" + hashlib.sha256(canonical({k: v for k, v in receipt.items() if k != "digest"})[:-1]).hexdigest()
+    return "sha256:" + hashlib.sha256(canonical(_without(receipt, "digest"))[:-1]).hexdigest()
 
 
 def sealed(receipt: dict, key: bytes | None = None, overall: str = "") -> dict:
     """The receipt with its digest, and with a check code under a key where one is given."""
-    out = {k: v for k, v in receipt.items() if k not in ("digest", "check_code")}
+    out = _without(receipt, "digest", "check_code")
     if key is not None:
         body = overall.encode() + b":" + canonical(out)[:-1]
         out["check_code"] = {"key_id": hashlib.sha256(key).hexdigest()[:16], "code": hmac.new(key, body, hashlib.sha256).hexdigest()}
@@ -86,7 +90,7 @@ def verify(receipt: dict, key: bytes | None = None, overall: str = "") -> str:
         return "match" if key is None else "not_verifiable"
     if key is None or code["key_id"] != hashlib.sha256(key).hexdigest()[:16]:
         return "not_verifiable"
-    return "match" if sealed({k: v for k, v in receipt.items() if k != "digest"}, key, overall)["check_code"] == code else "differs"
+    return "match" if sealed(receipt, key, overall)["check_code"] == code else "differs"
 
 
 def write_zip(path: str, entries: Iterable[tuple[str, bytes | None]]) -> str:
