@@ -138,7 +138,7 @@ def role_mismatches(found: DataFrame, roles: dict[str, str], rules=BUILTIN) -> D
     best = candidates(found, rules).where("rank = 1")
     declared = F.element_at(F.create_map(*(x for c, r in roles.items() for x in (F.lit(c), F.lit(r)))), F.col("column"))
     c = best.withColumn("declared", declared)
-    qi = (F.col("role") == "qi") & F.col("evidence").isin(EVIDENCE[:2]) & F.col("declared").isin("keep", "sensitive")
+    qi = (F.col("role") == "qi") & F.col("evidence").isin(*EVIDENCE[:2]) & F.col("declared").isin("keep", "sensitive")
     ident = (F.col("role") == "id") & (F.col("evidence") == EVIDENCE[0]) & F.col("declared").isin("keep", "qi", "sensitive")
     return c.where(qi | ident).select("column", "declared", F.col("role").alias("suggested"))
 
