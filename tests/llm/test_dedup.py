@@ -51,6 +51,15 @@ def test_drop_exact_duplicates_keeps_whole_rows(spark):
     assert sorted((r.doc_id or 0, lower(r.text)[:9]) for r in rows) == sorted([(2, "same text"), (4, ""), (0, "lonely"), (7, "É"), (8, "é"), (9, ("w " * 5)[:9])])
 
 
+def test_drop_exact_duplicates_keeps_the_rows_marked_kept(spark):
+    """Ids that repeat with another text."""
+    rows = [(5, "A"), (5, "B"), (9, "B"), (6, "Ab"), (6, "AB"), (7, None), (7, ""), (None, "B"), (None, "c"), (None, "C"), (8, "c2"), (8, "c2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda i, t: (str(i), hashlib.sha256(lower(t).encode()).hexdigest())
+    marked = sorted((str(r.doc_id), r.text_sha256) for r in ed.exact_dedup(df).where("kept").collect())
+    assert sorted(key(r.doc_id, r.text) for r in ed.drop_exact_duplicates(df).collect()) == marked
+
+
 def brute_print(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else ([" ".join(words)] if words else [])

@@ -98,13 +98,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that repeat both id and text one stays. Rows with a null id stay, one a text, where no row with an id has their text.
     """
     kept = exact_dedup(docs, id_col, text_col).where("kept")
-    mine, nth, sha = fresh(docs, "__id"), fresh(docs, "__n"), fresh(docs, "__sha")
-    one = lambda rows, *by: rows.withColumn(nth, F.row_number().over(W.partitionBy(*by).orderBy(F.lit(1)))).where(F.col(nth) == 1)
-    named = docs.where(F.col(id_col).isNotNull())
-    named = named.join(kept.select(F.col(id_col).alias(mine)), F.col(id_col) == F.col(mine), "left_semi")
-    # The join leaves rows hashed by id, so that this needs no exchange of its own.
-    named = one(named, F.col(id_col), F.xxhash64(text_col)).select(docs.columns)
-    digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER).cast("binary"), 256)
-    nameless = docs.where(F.col(id_col).isNull()).withColumn(sha, digest)
-    nameless = nameless.join(kept.where(F.col("keep_id").isNull()).select(F.col("text_sha256").alias(sha)), sha, "left_semi")
-    return named.unionByName(one(nameless, sha).select(docs.columns))
+    name, nth = fresh(docs, "__key"), fresh(docs, "__n")
+    key = lambda sha, i: F.concat(sha, F.coalesce(F.concat(F.lit(":"), i.cast("string")), F.lit("")))
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, LOWER).cast("binary"), 256)
+    kept = kept.select(key(F.col("text_sha256"), F.col(id_col)).alias(name))
+    rows = docs.withColumn(name, key(digest, F.col(id_col))).join(kept, name, "left_semi")
+    # The join leaves rows hashed by key, so that this needs no exchange of its own; of rows that repeat id and text, any.
+    return rows.withColumn(nth, F.row_number().over(W.partitionBy(name).orderBy(F.lit(1)))).where(F.col(nth) == 1).select(docs.columns)
