@@ -192,6 +192,17 @@ def test_decontamination_against_all_windows(spark):
     assert dc.contaminated(d, b.limit(0)).collect() == [] and dc.contaminated(d.limit(0), b).collect() == [] and dc.decontaminate(d, b.limit(0)).count() == len(docs)
 
 
+def test_no_verified_window_is_lost_to_its_fingerprint(spark, monkeypatch):
+    """A window of similarity 0.8 or more is reported, however far its fingerprint lies."""
+    words = [f"w{k}" for k in range(50)]
+    docs = [(1, " ".join(["new", *words[1:], "after"])), (2, "none of it is in here at all")]
+    own = dc._fingerprint
+    monkeypatch.setattr(dc, "_fingerprint", lambda hashes: own(hashes) ^ (sum(map(int, hashes)) & (1 << 64) - 1))
+    items = dc.Items([(9, " ".join(words))], width=5, least=0.8)
+    found = [items.find(t) for _, t in docs]
+    assert [x[0] for x in found[0]] == [9] and found[0][0][1] >= 0.8 and found[0][0][4] > 20 and found[1] == []
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items = [(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}") for k in range(6)]
     docs = [(k, "x y " + t + " z") for k, t in items]

@@ -1,16 +1,13 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by the shingles of item-sized windows.
 
 The benchmark is the stated query set: it is read in blocks of bounded bytes, each of which is searched for in all documents.
 Both sides are words after lower-casing A-Z and turning ASCII punctuation to blanks; a shingle is `width` words (a shorter
 item is one shingle), weighted by how often it occurs. A window of an item's length (or the whole document, if shorter) can
 only reach the similarity if it shares shingles with the item: of m window and m' item shingles at least s/(1+s) * (m + m')
-occurrences. So the documents' words are read once as benchmark word numbers, shingles found by one number per position, and
-for the windows that share that many - all others are below the similarity for certain - the fingerprint is made. Multi-index
-blocks (radius + 1 bit blocks, one of which two fingerprints within the radius share) give the candidates, all of which are
-within the radius, and the exact weighted similarity (sum of minima over sum of maxima) decides.
-
-A weighted similarity of 0.8 leaves an angle at which a bit differs with a chance of about 0.15: 9.7 bits of 64 expected, more
-than the default radius of 20 in about 2 of 10,000 such windows; exact passages have distance 0.
+occurrences. So the documents' words are read once as benchmark word numbers, and an inverted index of the items' shingles gives
+the windows that share that many; all others are below the similarity for certain. Of those the exact weighted similarity (sum
+of minima over sum of maxima) decides alone: nothing that reaches it is lost. The SimHash distance of the best window is
+reported, and drops nothing.
 """
 
 from __future__ import annotations
@@ -46,8 +43,8 @@ def similarity(a: dict[int, int], b: dict[int, int]) -> float:
 class Items:
     """One block of the benchmark, ready to be searched for."""
 
-    def __init__(self, items: list[tuple], width: int, radius: int, least: float):
-        self.width, self.radius, self.least = width, radius, least
+    def __init__(self, items: list[tuple], width: int, least: float):
+        self.width, self.least = width, least
         self.word: dict[bytes, int] = {}
         self.items = []
         for item_id, text in items:
@@ -66,8 +63,6 @@ class Items:
             self.prints.append(_fingerprint(self._spread(sh)))
             self.bags.append(self._bag(sh))
         self.keys = {w: np.array(sorted(by), np.int64) for w, by in self.where.items()}
-        cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-        self.cuts = list(zip(cuts, cuts[1:]))
 
     def _shingles(self, ids: np.ndarray, width: int | None = None) -> np.ndarray:
         """A 63-bit number per run of width words; equal runs have equal numbers, and a run with a word outside the benchmark has -1."""
@@ -91,11 +86,6 @@ class Items:
         keys, n = np.unique(shingles, return_counts=True)
         return dict(zip(keys.tolist(), n.tolist()))
 
-    def _candidates(self, a: int, b: int) -> bool:
-        """Multi-index: they share a block, and all blocks together differ in at most radius bits."""
-        x = a ^ b
-        return any(not (x >> lo) & ((1 << hi - lo) - 1) for lo, hi in self.cuts) and x.bit_count() <= self.radius
-
     def find(self, text: str | None) -> list[tuple]:
         """(item_id, similarity, first word, words, distance) of each item in the text, at its best window."""
         words = words_of(text)
@@ -135,16 +125,17 @@ class Items:
                     sim = similarity(self._bag(window), self.bags[k])
                     if sim + 1e-12 < self.least or (best and sim <= best[1]):
                         continue
-                    if full is None:
-                        # A shingle outside the benchmark is a number of its own: its words' hash.
-                        full = sh.copy()
-                        for p in np.flatnonzero(sh < 0).tolist():
-                            full[p] = xxhash.xxh64_intdigest(b" ".join(words[p : p + width]), 7) >> 1
-                    distance = self.prints[k] ^ _fingerprint(self._spread(full[start : start + span]))
-                    if self._candidates(0, distance):
-                        best = (item_id, sim, start, span + width - 1, distance.bit_count())
-                if best:
-                    out.append(best)
+                    best = (start, sim)
+                if best is None:
+                    continue
+                if full is None:
+                    # A shingle outside the benchmark is a number of its own: its words' hash.
+                    full = sh.copy()
+                    for p in np.flatnonzero(sh < 0).tolist():
+                        full[p] = xxhash.xxh64_intdigest(b" ".join(words[p : p + width]), 7) >> 1
+                start, sim = best
+                distance = self.prints[k] ^ _fingerprint(self._spread(full[start : start + span]))
+                out.append((item_id, sim, start, span + width - 1, distance.bit_count()))
         return out
 
 
@@ -161,7 +152,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs (id, item_id, similarity, first_word, n_words, distance): a document and an item that it holds, at the best window.
 
     Nothing is shuffled: each block of the benchmark is broadcast (BLOCK_BYTES at most) and searched for in all documents.
@@ -175,16 +166,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = None
     for block in _blocks(benchmark, item_col, text_col):
         sent = spark.sparkContext.broadcast(block)
-        found = src.mapInArrow(_search(sent, width, radius, least, schema), schema)
+        found = src.mapInArrow(_search(sent, width, least, schema), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
     return out.withColumnRenamed("id", id_col)
 
 
-def _search(sent, width: int, radius: int, least: float, schema: str):
+def _search(sent, width: int, least: float, schema: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, width, radius, least)
+        items = Items(sent.value, width, least)
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
             for i, text in zip(ids, b.column(1)):
@@ -197,18 +188,18 @@ def _search(sent, width: int, radius: int, least: float, schema: str):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs in which no item is found, whole and in their own columns; nothing is shuffled. Cases as in contaminated()."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, "text"):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), width, radius, least, at), docs.schema)
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), width, least, at), docs.schema)
     return docs
 
 
-def _clean(sent, width: int, radius: int, least: float, at: int):
+def _clean(sent, width: int, least: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, width, radius, least)
+        items = Items(sent.value, width, least)
         for b in batches:
             yield b.filter(pa.array([not items.find(t.as_py()) for t in b.column(at)], pa.bool_()))
 
