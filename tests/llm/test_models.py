@@ -157,6 +157,41 @@ def test_samples_without_replacement():
     assert abs(np.mean([sum(math.exp(s[1]) / s[3] for s in o) for o in out]) - 1) < 1e-3
 
 
+def test_samples_of_texts_that_end_where_they_branch():
+    v = piece_sampling.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    for out in piece_sampling.sample_group(["a", "the", "no", "x\n"] * 100, list(range(400)), 4, v):
+        assert len({tuple(s[0].tolist()) for s in out}) == len(out) and all(0 < s[3] <= 1 for s in out)
+
+
+def test_kept_lattices_change_nothing(monkeypatch):
+    """Samples are the same to the last bit with lattices kept, made anew, and in other groups."""
+    v = piece_sampling.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["the cat sat", "a dog\tran  far 日本 é", "Thlyre onding " * 300, "", "zq"]
+    show = lambda out: [[(s[0].tolist(), *s[1:]) for s in o] for o in out]
+    want = show(piece_sampling.sample_group(texts, list(range(5)), 3, v))
+    known = piece_sampling.Units(v)
+    for edges in (10**9, 0):
+        monkeypatch.setattr(piece_sampling, "MAX_EDGES", edges)
+        for part in ([4], [2, 0], [3, 1], [0, 1, 2, 3, 4]):
+            assert show(piece_sampling.sample_group([texts[i] for i in part], part, 3, v, known)) == [want[i] for i in part]
+
+
+def test_decoding_cases(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = piece_sampling.vocabulary(path)
+    rows = [(1, [99999, v.byte_ids[65].item(), None], "x"), (2, [], "x"), (3, None, "x"), (4, [v.byte_ids[0xE6].item()], None), (1, [-1], "x")]
+    got = piece_sampling.decode_pieces(spark.createDataFrame(rows, "i int, ids array<int>, decoded string"), path)
+    assert got.columns == ["i", "ids", "decoded", "decoded_"]
+    assert [r.decoded_ for r in got.collect()] == ["\ufffdA\ufffd", "", None, "\ufffd", "\ufffd"]
+
+
+def test_segmentation_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "the cat"), (1, "the cat"), (None, "the cat"), (None, None)], "doc_id int, text string")
+    rows = piece_sampling.sample_segmentations(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    by = Counter((r.doc_id, r["sample"], tuple(r.ids), r.perturbed) for r in rows)
+    assert len(rows) == 7 and sorted(by.values()) == [1, 1, 1, 2, 2] and all(r.decodes for r in rows)
+
+
 def test_segmentation_cases(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = ["", None, " ", "\n", "a b  c\t", "日本語😀\x00é", "x" * 5000, "the cat " * 2000]

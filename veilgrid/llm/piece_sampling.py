@@ -4,7 +4,7 @@ A text is cut in units that no piece crosses (blanks with the word after them; t
 a node per character border and an edge per vocabulary piece (a character that is no piece is one edge of its bytes). A
 piece's log probability is Zipf's for its rank in the vocabulary file, whose own merge ranks are no probabilities; backward
 sums over the lattice turn them into exact conditional probabilities of the next piece at each node. Lattices are built once
-per different unit of a batch, all of them in lock step.
+per different unit, those of a batch in lock step, and kept by the worker up to MAX_EDGES, which affects speed alone.
 
 The search tree branches at each piece of the whole text. Perturbed values go down the tree: a node hands its value to the
 child that is drawn, and the other children together get a Gumbel value for their mass, cut off at the node's. So a drawn
@@ -17,9 +17,12 @@ and the place in the text, so batches and partitions don't matter.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from veilgrid.llm.common import fresh
+
 #: Texts are sampled in groups of about so many characters (a longer text is a group of its own).
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
+#: Lattice edges that a worker keeps (about 30 bytes each).
+MAX_EDGES = 6_000_000
+#: Values along a path are made so many at a time; none of the uniform numbers has a Gumbel value above TOP.
+STEP, TOP = 128, 37.5
 SPACE = "▁"
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}\n\t]*|[\n\t]|[^{SPACE}\n\t]+")
 _U = np.uint64
+_WORD = (1 << 64) - 1
+_NONE = np.zeros(0, np.int32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +76,6 @@ class Vocabulary:
                 self.byte_id[int(self.pieces[i][3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 normal.append(i)
-        self.ascii_ids = np.array([self.byte_id.get(b, 0) for b in range(128)], np.int32)
         if len(self.byte_id) != 256 or sp.encode(" a", out_type=str)[:1] != [SPACE]:
             raise ValueError("the model has no byte fallback or no dummy prefix")
         for i in normal:
@@ -100,6 +110,10 @@ class Vocabulary:
         for (a, c), to in children.items():
             if a == 0:
                 self.first[c] = to
+        self.byte_ids = np.array([self.byte_id[b] for b in range(256)], np.int32)
+        # What a piece stands for, as bytes.
+        raw = {i: bytes([b]) for b, i in self.byte_id.items()}
+        self.shown = pa.array([raw.get(i, p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)], pa.binary())
         self.piece_log_p = np.full(n, np.nan)
         for i, x in self.log_p.items():
             self.piece_log_p[i] = x
@@ -119,29 +133,14 @@ class Vocabulary:
         hit = np.flatnonzero(hit)
         return hit, self.to[slot[hit]]
 
-    def decode(self, ids) -> str:
-        """The text of piece ids: bytes joined, SPACE as a blank, the dummy prefix off."""
-        ids = np.asarray(ids, np.int64)
-        if not hasattr(self, "_shown"):
-            self._bytes = {i: b for b, i in self.byte_id.items()}
-            self._shown = [p.replace(SPACE, " ") for p in self.pieces]
-            for b in range(128):
-                self._shown[self.byte_id[b]] = chr(b)
-            self._high = np.zeros(len(self.pieces), bool)
-            self._high[[i for b, i in self.byte_id.items() if b >= 128]] = True
-        high = self._high[ids].any()
-        ids = ids.tolist()
-        if not high:
-            text = "".join(map(self._shown.__getitem__, ids))
-        else:
-            raw, get = bytearray(), self._bytes.get
-            for i in ids:
-                if (b := get(i)) is not None:
-                    raw.append(b)
-                else:
-                    raw += self._shown[i].encode()
-            text = raw.decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+    def decode(self, lists: pa.ListArray) -> list[bytes]:
+        """The bytes of each list of piece ids: bytes joined, SPACE as a blank, the dummy prefix off."""
+        flat = lists.flatten()
+        data = self.shown.take(flat)
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int32)
+        raw = memoryview(data.buffers()[2] or b"") if len(data) else memoryview(b"")
+        cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [bytes(raw[a:z]).removeprefix(b" ") for a, z in zip(cuts, cuts[1:])]
 
 
 @lru_cache(2)
@@ -150,7 +149,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of many units: edges in order of their node, each with its conditional probability there."""
+    """The lattices of many units: edges in order of their node, each with its conditional probability there.
+
+    All numbers of a unit depend on that unit alone, to the last bit, whatever else is in the lattice.
+    """
 
     def __init__(self, units: list[str], v: Vocabulary):
         lens = np.array([len(u) for u in units], np.int64)
@@ -165,7 +167,7 @@ class Lattice:
             t = v.token[node]
             ends = t >= 0
             src.append(at[ends])
-            size.append(np.full(int(ends.sum()), k, np.int32))
+            size.append(k)
             tok.append(t[ends])
             on = at + k < stop[at]
             at, node = at[on], node[on]
@@ -178,20 +180,24 @@ class Lattice:
         single[src[0]] = True
         raw = np.flatnonzero(~single).astype(np.int32)  # characters that are no piece: an edge of their bytes, numbered below 0
         src.append(raw)
-        size.append(np.ones(len(raw), np.int32))
+        size.append(1)
         tok.append(-1 - codes[raw])
-        src, size, tok = np.concatenate(src), np.concatenate(size), np.concatenate(tok)
-        order = np.lexsort((size, src))
-        src, size, tok = src[order], size[order], tok[order]
-        del order, at, node, t, ends, on
+        # Edges by node, the shorter before the longer.
+        begin = np.zeros(n + 1, np.int32)
+        for s in src:
+            begin[1:][s] += 1
+        begin = np.cumsum(begin, dtype=np.int32)
+        free, m = begin[:-1].copy(), int(begin[-1])
+        at_src, at_to, at_tok = np.empty(m, np.int32), np.empty(m, np.int32), np.empty(m, np.int32)
+        for s, d, t in zip(src, size, tok):
+            e = free[s]
+            at_src[e], at_to[e], at_tok[e] = s, s + d, t
+            free[s] += 1
+        src, to, tok = at_src, at_to, at_tok
         log_p = v.piece_log_p[np.maximum(tok, 0)]
         under = tok < 0
         c = -1 - tok[under]
-        n_bytes = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
-        log_p[under] = v.byte_log_p * n_bytes
-        to = src + size
-        del size
-        begin = np.searchsorted(src, np.arange(n + 1, dtype=np.int32))
+        log_p[under] = v.byte_log_p * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000))
         # Backward sums, by distance from the unit's end.
         left = stop - np.arange(n) if n else np.zeros(0, np.int64)
         beta = np.zeros(n + 1)
@@ -209,48 +215,154 @@ class Lattice:
             x = log_p[e] + np.where(ends_unit[e], 0.0, beta[to[e]])
             top = np.maximum.reduceat(x, offs)
             beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, width)), offs))
-        self.log_q = log_p + np.where(ends_unit, 0.0, beta[to]) - beta[src]
-        cum = np.cumsum(np.exp(self.log_q))
-        base = np.r_[0.0, cum][begin[:-1]]
-        share = cum - base[src] if n else cum
+        log_q = log_p + np.where(ends_unit, 0.0, beta[to]) - beta[src]
+        log_q[begin[:-1][np.diff(begin) == 1]] = 0.0
+        share, width, nth = np.exp(log_q), np.diff(begin), 1
+        more = begin[:-1][width > nth]
+        while len(more):  # sums along each node's edges
+            share[more + nth] += share[more + nth - 1]
+            nth += 1
+            more = begin[:-1][width > nth]
         share[begin[1:] - 1] = 1.0
-        self.search = src + np.minimum(share, 1.0)
-        self.begin, self.to, self.token, self.ends = begin, to, tok, ends_unit
-        self.log_q[begin[:-1][np.diff(begin) == 1]] = 0.0
+        self.begin, self.to, self.token, self.ends, self.log_q, self.share = begin, to, tok, ends_unit, log_q, share
+        self.widest = int(width.max(initial=1))
+
+    def join(self, more: "Lattice") -> np.ndarray:
+        """Put another lattice's units behind these; returns their first nodes."""
+        nodes, edges = np.int32(len(self.begin) - 1), self.begin[-1]
+        self.begin = np.concatenate([self.begin, more.begin[1:] + edges])
+        self.to = np.concatenate([self.to, more.to + nodes])
+        for name in ("token", "ends", "log_q", "share"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(more, name)]))
+        self.widest = max(self.widest, more.widest)
+        return more.first + nodes
+
+    def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node at which its edges' shares pass u."""
+        lo, hi = self.begin[nodes], self.begin[nodes + 1] - 1
+        for _ in range((self.widest - 1).bit_length()):
+            mid = (lo + hi) >> 1
+            up = self.share[mid] <= u
+            lo, hi = np.where(up, np.minimum(mid + 1, hi), lo), np.where(up, hi, mid)
+        return lo
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each node to its unit's end: edges of all paths one after the other, and their numbers."""
         n = len(nodes)
         live = np.argsort(nodes, kind="stable")  # neighbours in memory one after the other
-        at, step, taken = nodes[live].astype(np.int64), 0, []
+        at, step, taken = nodes[live], 0, []
+        count = np.zeros(n, np.int32)
         while len(live):
-            u = _uniform(keys[live], np.full(len(live), step))
-            e = np.searchsorted(self.search, at + u)
+            e = self.draw(at, _uniform(keys[live], np.full(1, step)))
             taken.append((live, e))
-            on = ~self.ends[e]
+            count[live] += 1
+            on = np.flatnonzero(~self.ends[e])
             live, at, step = live[on], self.to[e[on]], step + 1
-        count = np.zeros(n, np.int64)
-        for who, _ in taken:
-            count[who] += 1
         start = np.cumsum(count) - count
-        out = np.empty(int(count.sum()), np.int64)
+        out = np.empty(int(count.sum()), np.int32)
         for k, (who, e) in enumerate(taken):
             out[start[who] + k] = e
         return out, count
 
 
-def _cut_off(limit: np.ndarray, mass: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel values of log mass, cut off at limit; no mass: -inf."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return -np.logaddexp(-limit, -mass + np.log(-np.log(u)))
+class Units:
+    """Numbers of the first nodes of units, and the lattices of all units met so far: what goes beyond MAX_EDGES is made anew."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self._clear()
+
+    def _clear(self) -> None:
+        self.node, self.lattice = {}, Lattice([], self.v)
+
+    def first(self, units: list[str]) -> np.ndarray:
+        if len(self.lattice.to) > MAX_EDGES:
+            self._clear()
+        found = list(map(self.node.get, units))
+        new = dict.fromkeys(u for u, at in zip(units, found) if at is None)
+        if new:
+            new.update(zip(new, self.lattice.join(Lattice(list(new), self.v)).tolist()))
+            self.node.update(new)
+            found = [new[u] if at is None else at for u, at in zip(units, found)]
+        return np.array(found, np.int32)
+
+
+@lru_cache(1)
+def known_units(path: str) -> Units:
+    """One a worker."""
+    return Units(vocabulary(path))
+
+
+def _cut_off(limit: float, value: float) -> float:
+    """A Gumbel value, cut off at limit."""
+    if value == -np.inf:
+        return value
+    low, high = sorted((-limit, -value))
+    return -(high + math.log1p(math.exp(low - high)))
+
+
+def _gumbel(u: float) -> float:
+    return -math.log(-math.log(u))
+
+
+def _uniform_py(key: int, place: int) -> float:
+    """As _uniform, of one number."""
+    x = key + place * 0x9E3779B97F4A7C15 & _WORD
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _WORD
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _WORD
+    return (((x ^ x >> 31) >> 11) + 0.5) * 2.0**-53
 
 
 class _Path:
-    __slots__ = ("edges", "log_q", "bound", "from_", "value", "units", "out")
+    """One drawn segmentation of a text, with the bounds that it leaves behind its own places (all from `done` on).
+
+    A bound is a cut-off Gumbel value of the mass behind a place. No Gumbel value is above TOP, and the mass falls along the path,
+    so places far along can't hold the largest bound: values are made from the front, as far as the largest one needs.
+    """
 
-    def __init__(self, edges, log_q, bound, from_, value, units):
-        self.edges, self.log_q, self.bound, self.from_, self.value, self.units = edges, log_q, bound, from_, value, units
-        self.out = {}  # place -> edges that are taken there
+    __slots__ = ("edges", "done", "value", "key", "values", "before", "own", "out")
+
+    def __init__(self, edges, done, value, key, before):
+        self.edges, self.done, self.value, self.key, self.values, self.before = edges, done, value, key, np.zeros(0), before
+        self.own: dict[int, float] = {}  # place -> the bound left there after a draw
+        self.out: dict[int, list[int]] = {}  # place -> edges that are taken there
+
+    def top(self) -> tuple[float, int]:
+        """The largest bound among the values made, and its place."""
+        if not len(self.values):  # a draw at the text's last place
+            return -np.inf, -1
+        place = int(self.values.argmax())
+        found = (_cut_off(self.value, float(self.values[place])), self.done + place)
+        return max([found, *((b, p) for p, b in self.own.items())]) if self.own else found
+
+    def short(self) -> bool:
+        """Whether a value still to be made may be behind the largest bound."""
+        n = self.done + len(self.values)
+        return n < len(self.edges) and (n == self.done or _cut_off(self.value, self.before + TOP) > self.top()[0])
+
+    def leave(self, place: int, bound: float) -> None:
+        self.values[place - self.done] = -np.inf
+        self.own[place] = bound
+
+
+def _make_values(paths: list[_Path], lattice: Lattice) -> None:
+    """Gumbel values of the masses behind the places of each path, up to where top() is the largest of all."""
+    step = STEP
+    while paths := [p for p in paths if p.short()]:
+        at = np.array([p.done + len(p.values) for p in paths])
+        edges = np.full((len(paths), step), -1, np.int32)
+        for row, p, n in zip(edges, paths, at.tolist()):
+            e = p.edges[n : n + step]
+            row[: len(e)] = e
+        some = edges >= 0
+        log_q = np.where(some, lattice.log_q[edges], 0.0)
+        along = np.cumsum(np.concatenate([np.array([p.before for p in paths])[:, None], log_q], 1), 1)
+        noise = _uniform(np.array([p.key for p in paths], _U)[:, None], at[:, None] + np.arange(step))
+        with np.errstate(divide="ignore"):
+            values = np.where(some, along[:, :-1] + np.log(-np.expm1(np.minimum(log_q, 0.0))) - np.log(-np.log(noise)), -np.inf)
+        for p, new, before, n in zip(paths, values, along[:, -1].tolist(), some.sum(1).tolist()):
+            p.values, p.before = np.concatenate([p.values, new[:n]]), before
+        step = min(4 * step, 4096)
 
 
 def _units(text: str) -> list[str]:
@@ -261,117 +373,110 @@ def _units(text: str) -> list[str]:
     return list(filter(None, (SPACE + text.replace(" ", " " + SPACE)).replace("\n", " \n ").split(" ")))  # the same, sooner
 
 
-def sample_group(texts: list[str], keys: list[int], k: int, v: Vocabulary) -> list[list[tuple]]:
+def sample_group(texts: list[str], keys: list[int], k: int, v: Vocabulary, known: Units | None = None) -> list[list[tuple]]:
     """Per text its samples in order: (ids, log_prob, perturbed, inclusion); fewer than k if it has no more segmentations."""
     units, per = [], []
     for t in texts:
         own = _units(t)
         units += own
         per.append(len(own))
+    known = known or Units(v)
+    first = known.first(units)
+    lattice = known.lattice
+    del units
     per = np.array(per, np.int64)
-    different = list(dict.fromkeys(units))
-    number = dict(zip(different, range(len(different))))
-    lattice = Lattice(different, v)
-    first = lattice.first[np.fromiter(map(number.__getitem__, units), np.int64, len(units))]
-    del units, different, number
     starts = np.cumsum(per) - per
+    place = np.arange(len(first)) - np.repeat(starts, per)
     doc_key = _mix(np.array(keys, _U))
     paths: list[list[_Path]] = [[] for _ in texts]
-    # What is still to be drawn this round: texts, their edges so far, the place in the text, and the limit.
-    todo = [(i, None, 0, None) for i in range(len(texts)) if per[i]]
+    # What is still to be drawn this round: texts, their edges so far, and the value that the draw starts from.
+    todo = [(i, _NONE, None) for i in range(len(texts)) if per[i]]
     for sample in range(k):
         if not todo:
             break
         who = np.array([x[0] for x in todo], np.int64)
         key = _mix(doc_key[who] + _U((sample + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-        nodes, unit_at, owner = [], [], []
-        for j, (i, head, unit, _) in enumerate(todo):
-            a, z = int(starts[i]) + unit, int(starts[i] + per[i])
-            own = first[a:z]
-            if head is not None:
-                e = head[0][-1]
-                if lattice.ends[e]:
-                    own = own[1:]
-                    a += 1
-                else:
-                    own = own.copy()
-                    own[0] = lattice.to[e]
-            nodes.append(own)
-            unit_at.append(np.arange(a - int(starts[i]), z - int(starts[i])))
-            owner.append(np.full(len(own), j))
-        nodes, unit_at, owner = np.concatenate(nodes), np.concatenate(unit_at), np.concatenate(owner)
-        edges, count = lattice.walk(nodes, _mix(key[owner] + unit_at.astype(_U) * _U(0x8CB92BA72F3D8DD7)))
+        # The units from the one on in which a head ends, or after it if it ends with it.
+        from_, inside = starts[who].copy(), np.full(len(todo), -1, np.int64)
+        for j, (_, head, _) in enumerate(todo):
+            if len(head):
+                from_[j] += int(lattice.ends[head].sum())
+                if not lattice.ends[head[-1]]:
+                    inside[j] = lattice.to[head[-1]]
+        lens = starts[who] + per[who] - from_
+        owner = np.repeat(np.arange(len(todo)), lens)
+        at = np.repeat(from_ - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
+        nodes = first[at]
+        some = np.flatnonzero(inside >= 0)
+        nodes[(np.cumsum(lens) - lens)[some]] = inside[some]
+        edges, count = lattice.walk(nodes, _mix(key[owner] + place[at].astype(_U) * _U(0x8CB92BA72F3D8DD7)))
         each = np.bincount(owner, weights=count, minlength=len(todo)).astype(np.int64)
-        units = np.repeat(unit_at, count)
         cut = np.cumsum(each) - each
-        for j, (i, head, unit, limit) in enumerate(todo):
-            a, z = int(cut[j]), int(cut[j] + each[j])
-            new = edges[a:z]
-            done = np.zeros(0, np.int64) if head is None else head[0]
-            path = np.concatenate([done, new])
-            at = units[a:z] if head is None else np.concatenate([head[1], units[a:z]])
-            log_q = lattice.log_q[path]
-            noise = _uniform(np.full(len(path) + 1, key[j] ^ _U(0x5851F42D4C957F2D)), np.arange(len(path) + 1))
-            if limit is None:
-                limit = float(-np.log(-np.log(noise[-1])))
-            before = np.cumsum(log_q) - log_q
-            with np.errstate(divide="ignore"):
-                rest = before + np.log(-np.expm1(np.minimum(log_q, 0.0)))
-            bound = _cut_off(np.full(len(path), limit), rest, noise[:-1])
-            bound[: len(done)] = -np.inf  # these belong to the path it left
-            paths[i].append(_Path(path, log_q, bound, len(done), limit, at))
+        del owner, at, nodes, count
+        drawn = [edges[a : a + n] if not len(x[1]) else np.concatenate([x[1], edges[a : a + n]]) for a, n, x in zip(cut.tolist(), each.tolist(), todo)]
+        done = np.array([len(x[1]) for x in todo], np.int64)
+        noise = key ^ _U(0x5851F42D4C957F2D)
+        value = np.array([x[2] if x[2] is not None else _gumbel(_uniform_py(int(n), len(p))) for x, n, p in zip(todo, noise.tolist(), drawn)])
+        for (i, head, _), new, n, x, noise_key in zip(todo, drawn, done.tolist(), value.tolist(), noise.tolist()):
+            paths[i].append(_Path(new, n, x, noise_key, float(lattice.log_q[head].sum()) if n else 0.0))
+        _make_values([p for i in who.tolist() for p in paths[i]], lattice)
         if sample == k - 1:
             break
         todo = []
         for i in who.tolist():
-            p = max(paths[i], key=lambda x: x.bound.max())
-            place = int(p.bound.argmax())
-            limit = float(p.bound[place])
+            limit, where, p = max(((*x.top(), x) for x in paths[i]), key=lambda x: x[0])
             if limit == -np.inf:
                 continue
-            e = int(p.edges[place])
-            node = int(np.searchsorted(lattice.begin, e, "right")) - 1
-            out = p.out.setdefault(place, [e])
+            e = int(p.edges[where])
+            node = int(np.searchsorted(lattice.begin, np.int32(e), "right")) - 1
+            out = p.out.setdefault(where, [e])
             rest = [x for x in range(int(lattice.begin[node]), int(lattice.begin[node + 1])) if x not in out]
-            q = np.exp(lattice.log_q[rest])
-            draw, again = _uniform(np.repeat(doc_key[i : i + 1], 2), np.array([1 + 2 * sample, 2 + 2 * sample]) + 0x10000000)
-            pick = rest[min(int(np.searchsorted(np.cumsum(q), draw * q.sum(), "right")), len(rest) - 1)]
+            sums = list(accumulate(math.exp(x) for x in lattice.log_q[rest].tolist()))
+            own = int(doc_key[i])
+            pick = rest[min(bisect.bisect_right(sums, _uniform_py(own, 0x10000001 + 2 * sample) * sums[-1]), len(rest) - 1)]
             out.append(pick)
             others = [x for x in rest if x != pick]
-            before = float(p.log_q[:place].sum())
-            p.bound[place] = _cut_off(limit, before + np.log(np.exp(lattice.log_q[others]).sum()), again) if others else -np.inf
-            todo.append((i, (np.r_[p.edges[:place], pick], p.units[: place + 1]), int(p.units[place]), limit))
-    result = []
+            mass = float(lattice.log_q[p.edges[:where]].sum()) + math.log(sum(math.exp(x) for x in lattice.log_q[others].tolist())) if others else -np.inf
+            p.leave(where, _cut_off(limit, mass + _gumbel(_uniform_py(own, 0x10000002 + 2 * sample))))
+            todo.append((i, np.append(p.edges[:where], np.int32(pick)), limit))
+        _make_values([p for i in who.tolist() for p in paths[i]], lattice)
+    result: list[list[tuple]] = []
+    every = [p for own in paths for p in own]
+    ids = _ids([lattice.token[p.edges] for p in every], v)
+    at = 0
     for i, own in enumerate(paths):
         if not per[i]:
-            result.append([(np.zeros(0, np.int32), 0.0, float(-np.log(-np.log(_uniform(doc_key[i : i + 1], np.zeros(1))[0]))), 1.0)])
+            result.append([(np.zeros(0, np.int32), 0.0, _gumbel(_uniform_py(int(doc_key[i]), 0)), 1.0)])
             continue
-        kappa = max(float(p.bound.max()) for p in own)
+        kappa = max(p.top()[0] for p in own)
         rows = []
         for p in own:
-            total = float(p.log_q.sum())
-            rows.append((_ids(lattice.token[p.edges], v), total, p.value, 1.0 if kappa == -np.inf else float(-np.expm1(-np.exp(min(total - kappa, 700.0))))))
+            total = float(lattice.log_q[p.edges].sum())
+            rows.append((ids[at], total, p.value, 1.0 if kappa == -np.inf else -math.expm1(-math.exp(min(total - kappa, 700.0)))))
+            at += 1
         result.append(rows)
     return result
 
 
-def _ids(tokens: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Piece ids of a path: an edge of bytes becomes theirs."""
-    under = np.flatnonzero(tokens < 0)
-    if not len(under):
-        return tokens.astype(np.int32)
-    code = -1 - tokens[under]
-    if (code < 128).all():  # one byte each
-        out = tokens.astype(np.int32)
-        out[under] = v.ascii_ids[code]
-        return out
-    out, last = [], 0
-    for j in under.tolist():
-        out.append(tokens[last:j])
-        out.append(np.array([v.byte_id[b] for b in chr(-1 - int(tokens[j])).encode("utf-8", "surrogatepass")], np.int64))
-        last = j + 1
-    out.append(tokens[last:])
-    return np.concatenate(out).astype(np.int32)
+def _ids(paths: list[np.ndarray], v: Vocabulary) -> list[np.ndarray]:
+    """Piece ids of paths: an edge of bytes becomes theirs."""
+    if not paths:
+        return []
+    lens = np.array([len(p) for p in paths])
+    tok = np.concatenate(paths)
+    under = tok < 0
+    code = np.where(under, -1 - tok, 0)
+    size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+    ends = np.cumsum(size)
+    if under.any():
+        nth = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        code, under, size = np.repeat(code, size), np.repeat(under, size), np.repeat(size, size)
+        tok = np.repeat(tok, np.diff(ends, prepend=0))
+        code, size, nth = code[under], size[under], nth[under]
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[size]
+        bits = code >> 6 * (size - 1 - nth)
+        tok[under] = v.byte_ids[np.where(nth == 0, bits | lead, 0x80 | bits & 0x3F)]
+    return np.split(tok.astype(np.int32), ends[np.cumsum(lens)[:-1] - 1]) if len(lens) > 1 else [tok.astype(np.int32)]
 
 
 def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", k: int = 2, seed: int = 5) -> DataFrame:
@@ -384,7 +489,7 @@ def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        known = known_units(path)
         for b in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
@@ -392,25 +497,27 @@ def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", tex
                 texts.append(t.as_py() or "")
                 size += len(texts[-1])
                 if size >= GROUP_CHARS:
-                    yield rows(b.schema.field(0).type, ids, texts, v)
+                    yield rows(b.schema.field(0).type, ids, texts, known)
                     ids, texts, size = [], [], 0
             if ids:
-                yield rows(b.schema.field(0).type, ids, texts, v)
+                yield rows(b.schema.field(0).type, ids, texts, known)
 
-    def rows(kind, ids, texts, v):
-        found = sample_group(texts, [xxhash.xxh64_intdigest(f"{seed}:{i!r}".encode()) for i in ids], k, v)
-        cols: list[list] = [[] for _ in range(6)]
-        lens, flat = [], []
+    def rows(kind, ids, texts, known):
+        found = sample_group(texts, [xxhash.xxh64_intdigest(f"{seed}:{i!r}".encode()) for i in ids], k, known.v, known)
+        cols: list[list] = [[] for _ in range(5)]
+        flat, want = [], []
         for i, text, samples in zip(ids, texts, found):
-            same = text.replace(SPACE, " ")
+            same = text.replace(SPACE, " ").encode()
             for n, (pieces, log_prob, value, inclusion) in enumerate(samples, 1):
-                for c, x in zip(cols, (i, n, log_prob, value, inclusion, v.decode(pieces) == same)):
+                for c, x in zip(cols, (i, n, log_prob, value, inclusion)):
                     c.append(x)
-                lens.append(len(pieces))
                 flat.append(pieces)
+                want.append(same)
+        lens = np.array([len(x) for x in flat])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)], pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+        decodes = [a == b for a, b in zip(known.v.decode(lists), want)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), pa.array(lens, pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), lists, pa.array(cols[5], pa.bool_())],
+            [pa.array(cols[0], kind), pa.array(cols[1], pa.int32()), pa.array(lens, pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()), lists, pa.array(decodes, pa.bool_())],
             ["id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids", "decodes"],
         )
 
@@ -421,15 +528,25 @@ def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", tex
 
 
 def decode_pieces(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """rows with a column decoded: the text of each row's piece ids (null: null)."""
-    at = rows.columns.index(ids_col)
-    if "decoded" in rows.columns:
-        raise ValueError("rows have a column decoded")
+    """rows with a column decoded (decoded_ if they have that, and so on): the text of each row's piece ids.
+
+    Null lists give null; null ids and ids outside the vocabulary stand for nothing but U+FFFD, as do bytes that make no
+    character. Control pieces show as they are written. An empty table gives no rows. Nothing is shuffled.
+    """
+    at, name = rows.columns.index(ids_col), fresh(rows, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
+        n = len(v.pieces)
         for b in batches:
-            texts = [None if x is None else v.decode(x) for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "decoded"])
-
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
+            lists = [x or [] for x in b.column(at).to_pylist()]
+            odd = [any(i is None or not 0 <= i < n for i in x) for x in lists]
+            plain = v.decode(pa.array([[] if bad else x for x, bad in zip(lists, odd)], pa.list_(pa.int32())))
+            texts = []
+            for x, bad, data, valid in zip(lists, odd, plain, b.column(at).is_valid().to_pylist()):
+                if bad:
+                    data = b"".join(v.shown[i].as_py() if i is not None and 0 <= i < n else "\ufffd".encode() for i in x).removeprefix(b" ")
+                texts.append(data.decode("utf-8", "replace") if valid else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, name])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, StringType())]))
