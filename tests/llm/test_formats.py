@@ -142,6 +142,31 @@ def test_warc_shards_are_deterministic_and_rolled(spark, tmp_path):
     assert len(responses) == 40 and all(h["WARC-Refers-To"] in responses for h in heads if h["WARC-Type"] == "revisit")
 
 
+def test_warc_losses_are_noticed(spark, tmp_path):
+    """An archive without its last record, a changed one, and a missing one."""
+    rows = [(i, f"http://h/{i}", f"page {i} " * 50, 0) for i in range(20)]
+    folder = f"file://{tmp_path}/a"
+    names = [r.file for r in write_warc(spark.createDataFrame(rows, PAGES).coalesce(1), folder).collect()]
+    assert read_warc(spark, folder).count() == 20
+    whole = (tmp_path / "a" / names[-1]).read_bytes()
+    last = whole.rindex(b"\x1f\x8b\x08\x00\x00\x00\x00\x00")
+    assert last > 0
+    for data in (whole[:last], whole + gzip.compress(b""), whole[:last] + gzip.compress(gzip.decompress(whole[last:]), 1, mtime=0)):
+        (tmp_path / "a" / names[-1]).write_bytes(data)
+        with pytest.raises(Exception, match="not the archive that the manifest lists"):
+            read_warc(spark, folder).collect()
+    (tmp_path / "a" / names[-1]).unlink()
+    with pytest.raises(Exception, match="FileNotFoundError|No such file"):
+        read_warc(spark, folder).collect()
+
+
+def test_warc_ids_of_any_characters(spark, tmp_path):
+    ids = ["a\nb", "a%0Ab", "%", " x ", "", "日本\x7f", "%25"]
+    df = spark.createDataFrame([(i, None, f"<p>{n}</p>") for n, i in enumerate(ids)] + [("twin\r", "u", "<p>0</p>")], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc_round_trip(df).collect()}
+    assert set(got) == {*ids, "twin\r"} and got["twin\r"].refers_to == "a\nb"
+
+
 def brute_hits(docs, items, width=5, least=0.8):
     def bag(ws):
         return Counter(tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))) if ws else Counter()

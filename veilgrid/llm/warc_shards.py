@@ -2,8 +2,10 @@
 
 Records are range-sorted by page id, each partition is written in files rolled by their compressed size, headers and digests
 are made anew, and equal payloads are stored once: the record with the smallest id is the response, the others revisit it.
-A file is written under a temporary name with the attempt in it and then renamed, so a lost executor's task can run again;
-the manifest, itself renamed into place last, is the commit: readers read the files that it lists and no others.
+A file is written under a temporary name with the attempt in it and then renamed, so a lost executor's task can run again; what
+a late attempt may still rename has the same bytes. The manifest, one file with a line an archive (its records, bytes and
+SHA-256), comes under its own name last and is the commit: readers read the files that it lists and no others, and hold each
+against its line.
 """
 
 from __future__ import annotations
@@ -11,6 +13,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,6 +33,7 @@ from veilgrid.llm.common import shared_folder
 SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+MANIFEST_FILE = "manifest.jsonl"
 MANIFEST = "file string, records bigint, bytes bigint, sha256 string"
 _KEYS = ["sha256", "size"]
 
@@ -57,9 +63,14 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["id", "salt", "sha256", "size"])
 
 
-def _clean(value) -> str:
-    """A header value on one line."""
-    return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in str(value))
+def _clean(value, also: str = "") -> str:
+    """A header value on one line: control characters, and those in `also`, as %XX."""
+    return "".join(c if c >= " " and c != "\x7f" and c not in also else f"%{ord(c):02X}" for c in str(value))
+
+
+def _plain(value: str) -> str:
+    """Undoes _clean(value, "%")."""
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value)
 
 
 def _urn(*parts) -> str:
@@ -84,11 +95,11 @@ def record(page_id, url, sha1: str, size: int, payload: bytes | None, refers_to,
     if url is not None:
         head.insert(4, f"WARC-Target-URI: {_clean(url)}")
     if page_id is not None:
-        head.append(f"X-Page-ID: {_clean(page_id)}")
+        head.append(f"X-Page-ID: {_clean(page_id, '%')}")
     if payload is None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to, sha1)}"]
         if refers_to is not None:
-            head.append(f"X-Refers-To-Page: {_clean(refers_to)}")
+            head.append(f"X-Refers-To-Page: {_clean(refers_to, '%')}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -97,7 +108,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     Of equal payloads of at least min_payload bytes the record with the smallest id is the response (of repeated rows with that
     id just one), others are revisits; smaller payloads are all responses. Null payload: empty. Null url: no target header.
-    A null id counts as larger than all others. An empty table gives an empty manifest. Other columns are not read.
+    A null id counts as larger than all others. Ids may hold any characters; control characters in a URL are written %XX, and
+    stay so. An empty table gives an empty manifest. Other columns are not read.
     """
     spark = pages.sparkSession
     kind = dict(pages.dtypes)[id_col]
@@ -153,12 +165,40 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         cols = list(zip(*done)) if done else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["file", "records", "bytes", "sha256"])
 
-    ranged.select("id", "url", "sha1", "size", "packed", "response", "nth", "refers_to").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/_manifest_new")
     fs, root = pafs.FileSystem.from_uri(folder)
-    fs.move(f"{root}/_manifest_new", f"{root}/manifest")
-    if fs.get_file_info(f"{root}/_temporary").type != pafs.FileType.NotFound:
-        fs.delete_dir(f"{root}/_temporary")
-    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    fs.create_dir(f"{root}/_temporary", recursive=True)
+    made = f"{folder}/_temporary/manifest"
+    ranged.select("id", "url", "sha1", "size", "packed", "response", "nth", "refers_to").mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(made)
+    # A line an archive of roll_bytes or so, streamed a partition at a time.
+    temp = f"{root}/_temporary/{MANIFEST_FILE}"
+    with fs.open_output_stream(temp, compression=None) as out:
+        for r in spark.read.schema(MANIFEST).parquet(made).orderBy("file").toLocalIterator():
+            out.write(json.dumps(r.asDict()).encode() + b"\n")
+    fs.move(temp, f"{root}/{MANIFEST_FILE}")
+    fs.delete_dir(f"{root}/_temporary")
+    return manifest_of(spark, folder)
+
+
+def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
+    """file, records, bytes, sha256 of each committed archive."""
+    return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{folder}/{MANIFEST_FILE}")
+
+
+class _Watched(io.RawIOBase):
+    """A stream that counts and digests what is read."""
+
+    def __init__(self, stream):
+        self.stream, self.size, self.digest = stream, 0, hashlib.sha256()
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.stream.read(len(buffer))
+        buffer[: len(data)] = data
+        self.size += len(data)
+        self.digest.update(data)
+        return len(data)
 
 
 def records_of(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -177,17 +217,23 @@ def records_of(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
-    """Read the committed archives back, a file a task, checking every digest: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits)."""
-    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
+    """Read the committed archives back, a file a task: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null in revisits).
+
+    It raises an error where an archive is missing, where its records, bytes or digest aren't those of the manifest, and where a
+    block or payload differs from its digest.
+    """
+    manifest = manifest_of(spark, folder)
     number = id_type in ("tinyint", "smallint", "int", "bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        ident = lambda x: None if x is None else int(x) if number else x
+        ident = lambda x: None if x is None else int(x) if number else _plain(x)
         for b in batches:
-            for name in b.column(0).to_pylist():
-                rows, held = [], 0
-                with gzip.GzipFile(fileobj=fs.open_input_stream(f"{root}/{name}", compression=None)) as stream:
+            for entry in b.to_pylist():
+                name, rows, held, count = entry["file"], [], 0, 0
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as raw:
+                    watched = _Watched(raw)
+                    stream = gzip.GzipFile(fileobj=io.BufferedReader(watched, 1 << 20))
                     for head, block in records_of(stream):
                         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                         payload = block.partition(b"\r\n\r\n")[2] if head["WARC-Type"] == "response" else None
@@ -197,14 +243,17 @@ def read_warc(spark: SparkSession, folder: str, id_type: str = "bigint") -> Data
                             raise ValueError(f"{name}: a payload differs from its digest")
                         rows.append((ident(head.get("X-Page-ID")), head.get("WARC-Target-URI"), int(head["X-Payload-Length"]) if payload is None else len(payload), digest, head["WARC-Type"], ident(head.get("X-Refers-To-Page")), payload))
                         held += len(block)
+                        count += 1
                         if held > 8 << 20:
                             yield _rows(rows, number)
                             rows, held = [], 0
+                    if (count, watched.size, watched.digest.hexdigest()) != (entry["records"], entry["bytes"], entry["sha256"]):
+                        raise ValueError(f"{name}: not the archive that the manifest lists")
                 yield _rows(rows, number)
 
     kind = "bigint" if number else "string"
     # A stated number of partitions isn't merged, however small the list of names is.
-    files = manifest.select("file").repartitionByRange(max(1, manifest.count()), "file")
+    files = manifest.repartitionByRange(max(1, manifest.count()), "file")
     return files.mapInArrow(run, f"page_id {kind}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to {kind}, payload binary")
 
 
