@@ -4,7 +4,7 @@ A text is cut in units that no piece crosses (blanks with the word after them; t
 a node per character border and an edge per vocabulary piece (a character that is no piece is one edge of its bytes). A
 piece's log probability is Zipf's for its rank in the vocabulary file, whose own merge ranks are no probabilities; backward
 sums over the lattice turn them into exact conditional probabilities of the next piece at each node. Lattices are built once
-per different unit, those of a batch in lock step, and kept by the worker up to MAX_EDGES, which affects speed alone.
+per different unit, those of a batch in lock step, and kept by the task up to MAX_EDGES, which affects speed alone.
 
 The search tree branches at each piece of the whole text. Perturbed values go down the tree: a node hands its value to the
 child that is drawn, and the other children together get a Gumbel value for their mass, cut off at the node's. So a drawn
@@ -34,9 +34,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from veilgrid.llm.common import fresh
 
 #: Texts are sampled in groups of about so many characters (a longer text is a group of its own).
-GROUP_CHARS = 2_000_000
-#: Lattice edges that a worker keeps (about 30 bytes each).
-MAX_EDGES = 6_000_000
+GROUP_CHARS = 1_000_000
+#: Lattice edges that a task keeps (about 30 bytes each).
+MAX_EDGES = 3_000_000
 #: Values along a path are made so many at a time; none of the uniform numbers has a Gumbel value above TOP.
 STEP, TOP = 128, 37.5
 SPACE = "▁"
@@ -287,12 +287,6 @@ class Units:
         return np.array(found, np.int32)
 
 
-@lru_cache(1)
-def known_units(path: str) -> Units:
-    """One a worker."""
-    return Units(vocabulary(path))
-
-
 def _cut_off(limit: float, value: float) -> float:
     """A Gumbel value, cut off at limit."""
     if value == -np.inf:
@@ -489,7 +483,7 @@ def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", tex
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = known_units(path)
+        known = Units(vocabulary(path))
         for b in batches:
             ids, texts, size = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
