@@ -110,6 +110,30 @@ def test_links_against_all_pairs(spark, monkeypatch, hot):
     assert {x: got.get(x, x) for x in fps} == {x: fps[find(i)] for i, x in enumerate(fps)}
 
 
+@pytest.mark.parametrize("dense", [4096, 50])
+@pytest.mark.parametrize("short", [48, 3])
+def test_long_runs_are_linked_as_all_pairs_are(monkeypatch, dense, short):
+    monkeypatch.setattr(sa, "DENSE", dense)
+    monkeypatch.setattr(sa, "SHORT", short)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+    fps = np.unique(np.array([int(b) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(80)], np.uint64))
+    ((u, v),) = sa._links_of_long(fps, 4)
+    at = {f: i for i, f in enumerate(fps.tolist())}
+    label = list(range(len(fps)))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4).tolist():
+            x, y = find(i), find(j)
+            label[max(x, y)] = min(x, y)
+    assert {at[a]: at[b] for a, b in zip(u.tolist(), v.tolist())} == {i: find(i) for i in range(len(fps)) if find(i) != i}
+
+
 def test_simhash_groups_cases(spark):
     rows = [(5, "a b c d e f", 0), (3, "A B c d e f", 0), (None, "a b c d e f", 1), (9, None, 1), (8, " ", 2), (9, None, 1), (None, "q r s t u", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")

@@ -31,6 +31,8 @@ HOT = 4096
 CODE = 15
 #: Runs of up to so many fingerprints are compared by shifts, all runs at once.
 SHORT = 48
+#: Longer runs of up to so many are all compared with each other.
+DENSE = 4096
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -141,19 +143,54 @@ def anchors(fp: Column, radius: int, blocks: int) -> Column:
     return F.concat(*found)
 
 
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give all that pairs i, j connect the least label among them (label[x] is x's root or a step to it)."""
+    while len(i):
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _near(fps: np.ndarray, at: np.ndarray, radius: int, label: np.ndarray) -> None:
+    """Join all of the fingerprints at `at` that lie within radius of each other, each with all."""
+    for a in range(0, len(at), 512):
+        i, j = np.nonzero(np.bitwise_count(fps[at[a : a + 512], None] ^ fps[at][None, :]) <= radius)
+        _join(label, at[a + i], at[j])
+
+
 def _links_of_long(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect a long run as all its links do: each fingerprint with the first of its local component."""
+    """Links that connect a long run of different fingerprints as all its links do: each with the first of its local component.
+
+    Up to DENSE of them are all compared. Of more, two within radius agree in at least four of radius + 4 bit ranges: for each
+    choice of four the run is sorted by those bits, and only fingerprints that agree there are compared.
+    """
     n = len(fps)
     label = np.arange(n)
-    while True:
-        new = label.copy()
-        for a in range(0, n, 512):
-            near = np.bitwise_count(fps[a : a + 512, None] ^ fps[None, :]) <= radius
-            new[a : a + 512] = np.where(near, label[None, :], n).min(1)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            break
-        label = new
+    if n <= DENSE:
+        _near(fps, label.copy(), radius, label)
+    else:
+        for four in combinations(ranges(radius + 4), 4):
+            mask = np.uint64(sum((1 << w) - 1 << at for at, w in four))
+            order = np.argsort(fps & mask, kind="stable")
+            key = (fps & mask)[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            lens = np.diff(np.r_[starts, n])
+            run = np.repeat(np.arange(len(starts)), lens)
+            short = np.flatnonzero(np.repeat((lens > 1) & (lens <= SHORT), lens))
+            for k in range(1, SHORT):
+                short = short[short + k < n]
+                short = short[run[short] == run[short + k]]
+                if not len(short):
+                    break
+                hit = short[np.bitwise_count(fps[order[short]] ^ fps[order[short + k]]) <= radius]
+                _join(label, order[hit], order[hit + k])
+            for a, m in zip(starts[lens > SHORT].tolist(), lens[lens > SHORT].tolist()):
+                _near(fps, order[a : a + m], radius, label)
     i = np.flatnonzero(label != np.arange(n))
     return [(fps[i], fps[label[i]])]
 
