@@ -123,6 +123,29 @@ def test_token_counts_match_the_library(spark):
     assert token_counts.token_counts(spark.createDataFrame([], "doc_id int, text string"), path).collect() == []
 
 
+def test_piece_state_maps_compose(monkeypatch):
+    """Long pieces, in chunks of any length, with wrong first guesses, and with transitions forgotten on the way."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(path), np.random.default_rng(2)
+    c = token_counts.Counter(path)
+    texts = ["a" * 5000, "".join(rng.choice(list("abcdefghinorstxyz"), 7000)), "the" * 3000, "é" * 2500, "=-" * 4000, "".join(rng.choice(list("aAbBé日"), 3001))]
+    want = [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert c.counts(texts) == want
+    for chunk, overlap, maps, kept in ((7, 3, 5, 10**9), (100, 0, 3, 10**9), (64, 20, 8, 50), (1, 1, 64, 0)):
+        for name, n in (("PIECE_CHUNK", chunk), ("OVERLAP", overlap), ("MAPS", maps), ("MAX_TRANSITIONS", kept)):
+            monkeypatch.setattr(token_counts, name, n)
+        c._forget()
+        assert c.counts(texts) == want
+
+
+def test_token_counts_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)], "doc_id int, text string")
+    got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(df, public_tokenizers.path("byte_bpe_50k.json")).collect())
+    assert got == {(1, 2): 2, (None, 2): 1, (None, 0): 1}
+
+
 def test_splitter_state_maps_compose(monkeypatch):
     """Chunks of any length give the same beginnings."""
     c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
@@ -206,6 +229,33 @@ def test_segmentation_cases(spark):
     assert piece_sampling.sample_segmentations(df.limit(0), path).collect() == []
 
 
+def test_ranking_is_the_least_loss():
+    """Newton's weights against a plain descent on the same pairs."""
+    rng = np.random.default_rng(4)
+    d = rng.normal(size=(400, 6)) + np.array([0.8, 0, -0.5, 0.1, 0, 0])
+    loss = lambda v: np.logaddexp(0, -(d @ v)).mean() + 0.005 * v @ v
+    v = quality_pairs.newton(d, 0.01)
+    w = np.zeros(6)
+    for _ in range(20000):
+        w += 0.3 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 0.01 * w)
+    assert np.allclose(v, w, atol=1e-4) and all(loss(v) <= loss(v + 0.01 * rng.normal(size=6)) for _ in range(50))
+
+
+def test_ranking_cases(spark):
+    """Repeated ids and rows, null ids and texts, empty tables, and a score of just the threshold."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "good words here."), (1, "good words here."), (2, "### $$$"), (2, "other ###"), (None, None), (None, "good words here."), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (1, 1)], "doc_id long, quality int")
+    model = quality_pairs.fit(docs, labels, F.lit(True))
+    rows = quality_pairs.quality_scores(docs, model).collect()
+    assert len(rows) == 7 and len({r.score for r in rows if r.doc_id == 1}) == 1 and sum(r.doc_id is None for r in rows) == 2
+    assert quality_pairs.quality_scores(docs.limit(0), model).collect() == [] and quality_pairs.keep_good(docs.limit(0), model).collect() == []
+    assert all(r.predicted for r in quality_pairs.quality_scores(docs, quality_pairs.fit(docs.limit(0), labels, F.lit(True))).collect())
+    flat = quality_pairs.Ranking(np.zeros(quality_pairs.N_FEATURES), np.zeros(quality_pairs.N_FEATURES), 0.0)
+    assert {(round(r.score, 12), r.predicted) for r in quality_pairs.quality_scores(docs, flat).collect()} == {(0.3, 1)} and quality_pairs.keep_good(docs, flat).count() == 7
+
+
 def test_ranking_separates_and_thresholds(spark):
     rng = np.random.default_rng(3)
     good = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"], 40)) + "." for _ in range(300)]

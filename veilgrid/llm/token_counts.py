@@ -9,7 +9,10 @@ Two machines are compiled from the tokenizer's file:
 * The counter reads a piece's bytes. Its state is what greedy merging can still depend on: for each suffix of the bytes so
   far that begins a vocabulary entry, that entry's trie node, the last token before the suffix, and how many tokens ago
   that was. States are numbered and transitions (next state, tokens emitted) kept as they are met; the sum of emissions
-  along a piece is its token count.
+  along a piece is its token count. A piece of more than PIECE_CHUNK bytes is cut in chunks of that length. A chunk's map
+  (from the states it may begin in to the state it ends in and the tokens emitted) begins with one state, that to which the
+  OVERLAP bytes before it lead, as states soon forget what is far back; the maps compose by a parallel prefix scan, which
+  runs a chunk again for a state that its map has not.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 #: Bounds of the kept transitions and piece counts of one worker; what goes is computed again when met again.
 MAX_TRANSITIONS, MAX_PIECES = 600_000, 400_000
 CHUNK = 256
+#: Bytes of a piece that one state map covers, bytes before it that guess its first state, and maps composed at once.
+PIECE_CHUNK, OVERLAP, MAPS = 1024, 48, 64
 #: Texts are read in batches of about so many characters.
 BATCH_CHARS = 2_000_000
 
@@ -223,18 +228,52 @@ class Counter:
             known = self.seen_pairs[last, token] = self.whole[token] and self._may_follow(last, token)
         return known
 
-    def piece(self, text: str) -> int:
-        if len(self.moves) > MAX_TRANSITIONS:
-            self._forget()
-        moves, state, total = self.moves, 0, 0
-        for byte in text.encode("utf-8", "surrogatepass"):
+    def _run(self, state: int, data: bytes) -> tuple[int, int]:
+        """The state that bytes lead to, and the tokens emitted."""
+        moves, total = self.moves, 0
+        for byte in data:
             key = state << 8 | byte
             if (move := moves.get(key)) is None:
                 move = moves[key] = self._move(state, byte)
             state, emitted = move
             total += emitted
+        return state, total
+
+    def piece(self, text: str) -> int:
+        if len(self.moves) > MAX_TRANSITIONS:
+            self._forget()
+        data = text.encode("utf-8", "surrogatepass")
+        return self._run(0, data)[1] if len(data) <= PIECE_CHUNK else self._long(data)
+
+    def _long(self, data: bytes) -> int:
+        """A piece's count by the state maps of its chunks, MAPS of them at a time; between them transitions may be forgotten."""
+        state, total = 0, 0
+        for at in range(0, len(data), MAPS * PIECE_CHUNK):
+            if len(self.moves) > MAX_TRANSITIONS:
+                kept = self.states[state]
+                self._forget()
+                if (state := self.number.get(kept, -1)) < 0:
+                    state = self.number[kept] = len(self.states)
+                    self.states.append(kept)
+            cuts = range(at, min(len(data), at + MAPS * PIECE_CHUNK), PIECE_CHUNK)
+            first = [state, *(self._run(0, data[c - OVERLAP : c])[0] for c in cuts[1:])]
+            maps = [{e: self._run(e, data[c : c + PIECE_CHUNK])} for e, c in zip(first, cuts)]
+            step = 1
+            while step < len(maps):  # maps[i] becomes the map of the 2 * step chunks up to i
+                maps = [m if i < step else {e: self._then(x, m, data[cuts[max(0, i - step + 1)] : cuts[i] + PIECE_CHUNK]) for e, x in maps[i - step].items()} for i, m in enumerate(maps)]
+                step *= 2
+            state, emitted = maps[-1][state]
+            total += emitted
         return total
 
+    def _then(self, before: tuple[int, int], after: dict[int, tuple[int, int]], data: bytes) -> tuple[int, int]:
+        """What a map entry leads to through the next map, that of data."""
+        state, total = before
+        if state not in after:
+            after[state] = self._run(state, data)
+        to, emitted = after[state]
+        return to, total + emitted
+
     def counts(self, texts: list[str]) -> list[int]:
         """Token counts of whole texts; special strings count as one token and separate what is around them."""
         parts, owner, extra = [], [], [0] * len(texts)
