@@ -34,8 +34,9 @@ BASE64 = rf"(?<![{_B64}])[{_B64}]{{24,}}={{0,2}}(?![{_B64}])"
 URL = r"(?iU)https?://\S+"
 FILES = r"(?id)(?:開いて|読み込んで|参照|添付).{0,12}(?:CSV|PDF|文書|ファイル)|(?:open|load|referenced?|attached).{0,12}(?:CSV|PDF|document|file)"
 _L = "a-zA-Z"
-ACTION = rf"(?i)(?<![{_L}])(?:{_any(_DO_JA + _DO_EN)})(?![{_L}])"
-TARGET = rf"(?i)(?<![{_L}])(?:{_any(_OF_JA + _OF_EN)})(?![{_L}])"
+ACTIONS, TARGETS = _any(_DO_JA + _DO_EN), _any(_OF_JA + _OF_EN)
+ACTION = rf"(?i)(?<![{_L}])(?:{ACTIONS})(?![{_L}])"
+TARGET = rf"(?i)(?<![{_L}])(?:{TARGETS})(?![{_L}])"
 
 
 def _patterns(rules: dict[str, str]) -> list[tuple[str, str, str]]:
@@ -77,5 +78,9 @@ def _evidence(axis: str, code: str):
 
 
 def mask(text: Column, rules: dict[str, str] | None = None) -> Column:
+    """One bit an axis; a pattern is searched for only until one of its axis is found."""
     text = F.coalesce(text, F.lit(""))
-    return F.concat(*(F.when(n > 0, "1").otherwise("0") for n in axis_counts(text, rules).values()))
+    some = {a: F.lit(False) for a in AXES}
+    for axis, _, p in _patterns(rules or {}):
+        some[axis] = some[axis] | text.rlike(p)
+    return F.concat(*(F.when(x, "1").otherwise("0") for x in some.values()))

@@ -16,8 +16,9 @@ def _text(c):
 def table_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys as strings, state (same, changed, removed, added) and columns (names that changed, sorted), by full outer join.
 
-    Keys that repeat on either side leave the comparison (see duplicate_keys). Cells are compared as strings, null as empty,
-    in the columns that both sides have; rows of blank cells only are skipped.
+    Keys that repeat on either side leave the comparison (see duplicate_keys): each side becomes one row a key before the join,
+    so a key of many rows is never multiplied. Cells are compared as strings, null as empty (in keys, too), in the columns that
+    both sides have; rows of blank cells only are skipped.
     """
     common = sorted(set(a.columns) & set(b.columns) - set(keys))
 
@@ -26,8 +27,8 @@ def table_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         for c in df.columns:
             some = some | (_text(c) != "")
         rows = df.where(some).select(*(_text(k).alias(k) for k in keys), F.struct(F.lit(1).alias("here"), *(_text(c).alias(c) for c in common)).alias(name))
-        # A count over the keys needs no exchange but that of the join.
-        return rows.withColumn(f"{name}n", F.count("*").over(W.partitionBy(*keys)))
+        # Rows of a key are combined before the exchange, which is also that of the join.
+        return rows.groupBy(*keys).agg(F.count("*").alias(f"{name}n"), F.first(name).alias(name))
 
     j = side(a, "__a").join(side(b, "__b"), keys, "full_outer")
     j = j.where((F.coalesce("__an", F.lit(1)) == 1) & (F.coalesce("__bn", F.lit(1)) == 1))
@@ -46,6 +47,8 @@ def duplicate_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def duplicate_groups(files: DataFrame, key: str, name: str, content: str | None = None) -> DataFrame:
     """key, n, least: groups of two or more rows with one key; with content, only rows of equal content are a group."""
     by = [key] if content is None else [key, content]
+    if content is not None:  # contents are only moved where keys are equal
+        files = files.join(files.groupBy(key).count().where("count > 1").select(key), key, "left_semi")
     return files.groupBy(*by).agg(F.count("*").alias("n"), F.min(name).alias("least")).where("n >= 2").select(key, "n", "least")
 
 

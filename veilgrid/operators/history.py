@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,26 @@ COLUMNS = {
 
 
 class History:
+    """One writer at a time. A table's rows lie in a folder of their own, which the file NAME.current names: replacing rows writes
+    a new folder and then renames that one file, so a crash leaves the old rows or the new."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _path(self, name: str) -> str:
+        fs, p = self._fs(f"{self.folder}/{name}.current")
+        if not fs.exists(p):
+            return f"{self.folder}/{name}"
+        return f"{self.folder}/" + self.spark.read.text(p.toString()).first()["value"]
+
     def table(self, name: str) -> DataFrame:
         """Newest first."""
         try:
-            df = self.spark.read.schema(COLUMNS[name]).parquet(f"{self.folder}/{name}")
+            df = self.spark.read.schema(COLUMNS[name]).parquet(self._path(name))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -38,16 +53,21 @@ class History:
             raise ValueError(f"not a column of {name}: {sorted(set(row) - allowed)[0]}")
         last = self.table(name).agg(F.max("id")).first()[0] or 0
         full = {c: row.get(c) for c in (x.split()[0] for x in COLUMNS[name].split(", "))} | {"id": last + 1}
-        self.spark.createDataFrame([tuple(full.values())], COLUMNS[name]).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
+        self.spark.createDataFrame([tuple(full.values())], COLUMNS[name]).coalesce(1).write.mode("append").parquet(self._path(name))
         return last + 1
 
     def _replace(self, name: str, df: DataFrame) -> None:
-        new = f"{self.folder}/{name}_new"
-        df.write.mode("overwrite").parquet(new)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(new).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        drop_folder(self.spark, f"{self.folder}/{name}")
-        fs.rename(path(new), path(f"{self.folder}/{name}"))
+        old, new = self._path(name), f"{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.folder}/{new}")
+        fs, temp = self._fs(f"{self.folder}/{new}.pointer")
+        out = fs.create(temp, True)
+        out.write(bytearray(new.encode()))
+        out.close()
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        over = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temp, self._fs(f"{self.folder}/{name}.current")[1], over)
+        drop_folder(self.spark, old)
 
     def prune(self, name: str, keep: int) -> None:
         """Keep the newest: a bound on ids, no sort of all rows in one task."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+    """A new folder's URI under spark.checkpoint.dir; where that is unset and all runs in one process (tests), under a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark.sparkContext, "_veilgrid_folder", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="veilgrid-")
