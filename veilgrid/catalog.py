@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilgrid import streaming
 from veilgrid.functions import names, order
 from veilgrid.functions import text as T
-from veilgrid.operators import cohort, compare, diff, gate, generalize, profile, redact, risk
+from veilgrid.operators import cohort, compare, diff, gate, generalize, profile, redact, risk, routing
 from veilgrid.operators.anonymize import Config, anonymize
 from veilgrid.operators.draw import draw
 from veilgrid.operators.suppression import suppression
@@ -685,6 +685,72 @@ def e4_suppression(spark, d):
     return suppression(lattice.base, (0, 0, 1), lattice.tops, _QI, [], 30, 1)
 
 
+# What a gate run adds
+
+
+@query("""WITH s AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'refused' WHEN 1 THEN 'parse_failed' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'too_large' WHEN 4 THEN 'symlink_skipped' WHEN 5 THEN 'engine_unavailable' WHEN 6 THEN 'not_applicable' ELSE 'empty_input' END AS u FROM pages)
+         SELECT page_id, CASE WHEN page_id % 8 < 5 THEN 'remedy' WHEN page_id % 8 = 5 THEN 'environment' ELSE 'excluded' END AS stage,
+           CASE page_id % 5 WHEN 0 THEN CASE WHEN page_id % 8 < 5 THEN 'remedy' WHEN page_id % 8 = 5 THEN 'environment' ELSE 'excluded' END WHEN 1 THEN 'remedy' WHEN 2 THEN 'environment' WHEN 3 THEN 'excluded' END AS produced_stage FROM s""")
+def c6_stages(spark, d):
+    p, m = _t(spark, d, "pages"), F.col("page_id")
+    u = F.element_at(F.array(*map(F.lit, "refused parse_failed unreadable too_large symlink_skipped engine_unavailable not_applicable empty_input".split())), (m % 8 + 1).cast("int"))
+    r = F.element_at(F.array(*map(F.lit, ("unobserved", "engine_refused", "engine_unavailable", "not_applicable", None))), (m % 5 + 1).cast("int"))
+    return p.select("page_id", routing.unobserved_stage(u).alias("stage"), routing.not_produced_stage(r, u).alias("produced_stage"))
+
+
+@query("""SELECT count(*) FILTER (NOT coalesce(l_returnflag = 'R', false)) AS kept, count(*) FILTER (l_returnflag = 'R') AS excluded FROM lineitem""")
+def c8_short_circuits(spark, d):
+    """Parts and suppliers as compared pairs, returned lines as those that an engine cut short."""
+    return routing.short_circuits(_t(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("short_circuited")))
+
+
+@query("""SELECT row_number() OVER (ORDER BY encode(p_name), p_partkey) AS "index", p_size FROM part""")
+def c13_path_less(spark, d):
+    p = _t(spark, d, "part").select(F.concat("p_name", F.lit("\0"), F.lpad(F.col("p_partkey").cast("string"), 12, "0")).alias("path"), "p_size")
+    return routing.path_less(p)
+
+
+@query("""WITH w AS (SELECT sha256(p_brand) AS sha, min(p_type) AS worksheet FROM part WHERE p_size > 25 GROUP BY 1)
+         SELECT p_partkey, sha256(p_brand) AS sentence_sha256, worksheet, worksheet IS NOT NULL AS answered FROM part LEFT JOIN w ON sha = sha256(p_brand)""")
+def d6_worksheets(spark, d):
+    """Brands as sentences, types of large parts as their worksheets."""
+    p = _t(spark, d, "part").withColumn("sentence_sha256", F.sha2("p_brand", 256))
+    return routing.with_worksheets(p.select("p_partkey", "sentence_sha256"), p.where("p_size > 25").select("sentence_sha256", F.col("p_type").alias("worksheet")))
+
+
+@query("""WITH f AS (SELECT c_mktsegment AS "column", CASE WHEN c_acctbal < 0 THEN 'leak' WHEN c_acctbal > 9000 THEN 'mixed_form' END AS code FROM customer)
+         SELECT "column", coalesce(string_agg(code || '=' || n, ',' ORDER BY code), '') AS findings FROM (SELECT "column", code, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY ALL) GROUP BY 1
+         UNION ALL SELECT 'none', ''""")
+def d10_findings(spark, d):
+    c = _t(spark, d, "customer").select(F.col("c_mktsegment").alias("column"), "c_acctbal")
+    found = c.select("column", F.when(F.col("c_acctbal") < 0, "leak").when(F.col("c_acctbal") > 9000, "mixed_form").alias("code"), F.lit(1).alias("count")).where("code IS NOT NULL")
+    out = routing.findings_by_column(c.select("column").distinct().union(spark.sql("SELECT 'none'")), found)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("findings")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return out.select("column", shown.alias("findings"))
+
+
+@query("""SELECT n_name AS name, n_nationkey::VARCHAR AS recorded, CASE WHEN n_nationkey % 5 <> 0 THEN n_regionkey::VARCHAR END AS current FROM nation WHERE n_nationkey % 5 = 0 OR n_nationkey <> n_regionkey""")
+def d12_version_drift(spark, d):
+    """Nations as engines: keys as the versions recorded, regions as today's, some gone."""
+    n = _t(spark, d, "nation")
+    return routing.version_drift(n.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("version")), n.where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("version")))
+
+
+@query("""WITH g AS (SELECT count(*) AS n, max(strlen(text)) AS size FROM documents GROUP BY sha256(text) HAVING count(*) >= 2)
+         SELECT (SELECT count(*) FROM documents) AS items, count(*) AS duplicate_groups, coalesce(sum(n), 0)::BIGINT AS duplicate_files, coalesce(sum(n * size), 0)::BIGINT AS duplicate_bytes FROM g""")
+def e20_duplicate_totals(spark, d):
+    docs = _t(spark, d, "documents")
+    return routing.duplicate_totals(docs.select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").alias("bytes")))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS path, CASE WHEN p_partkey % 3 = 0 THEN lower(hex(encode(p_name))) || 'ff' END AS path_hex FROM part""")
+def g40_path_fields(spark, d):
+    """Names of parts as paths, a third of them with a byte that is no UTF-8."""
+    p = _t(spark, d, "part")
+    raw = F.concat(F.col("p_name").cast("binary"), F.when(F.col("p_partkey") % 3 == 0, F.lit(bytearray(b"\xff"))).otherwise(F.lit(bytearray(b""))))
+    return p.select("p_partkey", routing.path_fields(raw).alias("f")).select("p_partkey", "f.*")
+
+
 _QUOTES = "(?s)「[^」]*」|『[^』]*』|“[^”]*”|\"[^\"]*\"|(?m)^>.*$"
 _SOURCES = "(?ims)^\\s*(?:references|bibliography|works cited|参考文献|引用文献)\\s*:?\\s*$.*"
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -112,6 +113,66 @@ def parse_rules(lines: str) -> list[Rule]:
     return out
 
 
+#: An observation catalog: what each key must be; True marks keys that may be absent.
+_CATALOG = {"lens": (str, True), "version": (int, False), "observations": (list, False)}
+_OBSERVATION = {"kind": (str, True), "codepoint": (str, False), "count": (int, True), "positions": (list, True), "twin": (str, True)}
+CATALOG_LIMIT = 1 << 20
+
+
+def _checked(obj, spec: dict, at: str) -> dict:
+    """obj, if it is an object with the keys of spec alone; errors name the place by JSON Pointer."""
+    if not isinstance(obj, dict):
+        raise ValueError(f"{at or '/'}: not an object")
+    if extra := sorted(set(obj) - set(spec)):
+        raise ValueError(f"{at or '/'}: unknown key {extra[0]}")
+    for key, (kind, optional) in spec.items():
+        if key not in obj:
+            if not optional:
+                raise ValueError(f"{at}/{key}: missing")
+        elif type(obj[key]) is not kind:
+            raise ValueError(f"{at}/{key}: not of type {kind.__name__}")
+    return obj
+
+
+def _one_char(name: str, at: str) -> str:
+    """U+XXXX -> the character."""
+    if not re.fullmatch(r"[Uu]\+[0-9A-Fa-f]{1,6}", name) or (n := int(name[2:], 16)) > 0x10FFFF or 0xD800 <= n < 0xE000:
+        raise ValueError(f"{at}: not one code point")
+    return chr(n)
+
+
+def catalog_rules(data: bytes) -> list[Rule]:
+    """The rules of an observation catalog (JSON, 1 MiB at most): each code point once, in order; with a twin it is replaced by that, else deleted.
+
+    Unknown keys, repeated keys, numbers that JSON has not and wrong types are refused; nothing is coerced.
+    """
+    if len(data) > CATALOG_LIMIT:
+        raise ValueError("the catalog is larger than 1 MiB")
+
+    def unique(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key occurs twice")
+        return dict(pairs)
+
+    def no_number(x):
+        raise ValueError(f"not a number of JSON: {x}")
+
+    doc = _checked(json.loads(data.decode(), object_pairs_hook=unique, parse_constant=no_number), _CATALOG, "")
+    if doc["version"] != 1:
+        raise ValueError("/version: not 1")
+    found: dict[str, Rule] = {}
+    for i, item in enumerate(doc["observations"]):
+        at = f"/observations/{i}"
+        _checked(item, _OBSERVATION, at)
+        for k, place in enumerate(item.get("positions", [])):
+            if type(place) is not int:
+                raise ValueError(f"{at}/positions/{k}: not of type int")
+        c = _one_char(item["codepoint"], f"{at}/codepoint")
+        twin = _one_char(item["twin"], f"{at}/twin") if "twin" in item else None
+        found.setdefault(c, Rule("chars", c, "delete") if twin is None else Rule("chars", c, "replace", twin))
+    return list(found.values())
+
+
 def _lower(s: str) -> str:
     return "".join(c.lower() if c.isascii() else c for c in s)
 

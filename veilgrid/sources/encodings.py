@@ -39,6 +39,19 @@ def decode_table(data: bytes, encoding: str | None = None) -> tuple[str, list[st
     raise Refused("undecodable")
 
 
+def decode_html(data: bytes) -> tuple[str | None, str | None]:
+    """The text of an HTML file and its encoding, by the policy of tables: a UTF-8 mark, strict UTF-8, strict CP932; (None, None) is a refusal.
+
+    What the page says of its own encoding is not asked; UTF-16 and UTF-32 marks are refused.
+    """
+    if bom_of(data) in ("utf-16", "utf-32") or data.startswith(codecs.BOM_UTF32_BE):
+        return None, None
+    for name in ("utf-8-sig",) if data.startswith(codecs.BOM_UTF8) else ("utf-8", "cp932"):
+        with contextlib.suppress(UnicodeDecodeError):
+            return data.decode(name), name
+    return None, None
+
+
 def decode_text(data: bytes, encoding: str | None = None) -> dict:
     """text, reason, bom, candidates: by mark, else strict UTF-8, else the encoding named, else refused with what would decode."""
     bom = bom_of(data)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilgrid.sources.encodings import decode_html
+
 READ_LIMIT = 8 << 20
 
 
@@ -52,6 +54,21 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.when(F.trim(item) == "", F.raise_error(F.lit("blank line")).cast("string")).otherwise(item).alias("item"), "pos")
 
 
+def html_pages(listing: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, html, encoding, reason (undecodable, or too_large where the content wasn't read): pages decoded strictly (see decode_html)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for data in b.column(1).to_pylist():
+                text, name = (None, None) if data is None else decode_html(data)
+                rows.append((text, name, "too_large" if data is None else "undecodable" if name is None else None))
+            cols = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.string()) for c in cols)], ["path", "html", "encoding", "reason"])
+
+    return listing.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("c")).mapInArrow(run, "path string, html string, encoding string, reason string")
+
+
 def zip_entries(archives: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """archive, pos, path, bytes, body: the entries of zip archives, in the archive's order."""
 
