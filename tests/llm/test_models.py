@@ -102,6 +102,69 @@ def test_follow_reaches_its_target():
         assert s.c.tolist() == target and np.bincount(s.own, weights=s.sizes, minlength=3).tolist() == target
 
 
+def log_stirling(n, d):
+    """log S(n, t): the sum over seatings of n customers at t tables of the product of (1 - d)(2 - d)... per table."""
+    row = [-math.inf, 0.0]
+    for k in range(1, n):
+        new = [-math.inf] * (k + 2)
+        for t in range(1, k + 2):
+            a = row[t - 1]
+            b = row[t] + math.log(k - d * t) if t <= k else -math.inf
+            new[t] = np.logaddexp(a, b)
+        row = new
+    return np.array(row)
+
+
+@pytest.mark.parametrize("d", [0.1, 0.4, 0.8])
+@pytest.mark.parametrize("n, q", [(2, 0.5), (20, 0.5), (64, 9.0), (65, 0.3), (90, 0.05), (400, 3.0), (2000, 0.7), (2000, 400.0), (1000, 30.0)])
+def test_seatings_as_a_whole(n, q, d):
+    """Tables of pairs of few and of many customers against the exact distribution, p(t) ~ S(n, t) q^t."""
+    copies, rng = 3000, np.random.default_rng(6)
+    w = log_stirling(n, d) + np.arange(n + 1) * math.log(q)
+    p = np.exp(w - w.max())
+    p /= p.sum()
+    mean = float((p * np.arange(n + 1)).sum())
+    sd = math.sqrt(float((p * (np.arange(n + 1) - mean) ** 2).sum()))
+    s = hpylm.Seats(np.full(copies, n), np.zeros(0, np.int64), np.zeros(0, np.int64), d)
+    s.gibbs(np.full(copies, q), rng)
+    t = s.tables()
+    assert (np.bincount(s.own, weights=s.sizes) == n).all() and (s.c == n).all()
+    assert abs(t.mean() - mean) < 4.5 * sd / math.sqrt(copies) + 0.004 * mean and 0.9 < (t.std() + 1e-9) / (sd + 1e-9) < 1.1
+
+
+def test_discount_and_strength_are_found():
+    """Of restaurants seated with known values, the posterior draws lie near them."""
+    rng, d, a = np.random.default_rng(9), 0.6, 2.0
+    sizes, c, t = [], [], []
+    for _ in range(200):
+        own = []
+        for n in range(400):
+            weights = np.array([*(x - d for x in own), a + d * len(own)])
+            k = int(rng.choice(len(weights), p=weights / weights.sum()))
+            own[k : k + 1] = [own[k] + 1] if k < len(own) else [1]
+        sizes += own
+        c.append(400)
+        t.append(len(own))
+    totals = hpylm.Totals([0] * 200)
+    totals.c[1 + hpylm.CLASSES :], totals.t[1 + hpylm.CLASSES :] = c, t
+    z, drawn = np.array(sizes), []
+    tables = np.zeros((3, hpylm.EXACT - 1), np.int64)
+    tables[2] = [(z > j).sum() for j in range(1, hpylm.EXACT)]
+    for k in range(60):
+        big = z[z > hpylm.EXACT]
+        tails = np.array([0, 0, np.log((big - totals.discount[2]) / (hpylm.EXACT - totals.discount[2])).sum()])
+        totals.redraw(tables, tails, rng)
+        drawn.append((totals.discount[2], totals.strength[2]))
+    found = np.mean(drawn[20:], 0)
+    assert abs(found[0] - d) < 0.03 and abs(found[1] - a) < 0.5
+
+
+def test_language_model_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "the cat sat"), (1, "the cat sat"), (None, "the cat sat"), (None, None)]
+    got = hpylm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), shards=2).collect()
+    assert len(got) == 4 and sorted(r.n_tokens for r in got) == [1, 4, 4, 4] and len({(r.held_out, r.score) for r in got if r.doc_id == 1}) == 1
+
+
 def test_language_model_edge_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert hpylm.score_texts(none, shards=2).collect() == []
