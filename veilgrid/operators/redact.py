@@ -90,6 +90,7 @@ BUILTINS = {
     "email": ("view", _regex(T.EMAIL)), "postal-jp": ("view", _regex(T.POSTAL)), "phone-jp": ("digits", _regex(T.PHONE)),
     "my-number": ("view", _runs((12,), _my_number)), "corporate-number": ("view", _runs((13,), _corporate)), "card": ("view", _runs(range(13, 20), _luhn)),
 }
+_SIGNS = re.compile("[0-9@\uff10-\uff19\uff20]")
 DEFAULT = (Rule("email"), Rule("phone-jp"), Rule("postal-jp"))
 
 
@@ -209,8 +210,12 @@ def _joined(text: str, border: int) -> bool:
 
 def resolve(text: str, rules) -> list[tuple[int, int, int]]:
     """start, end, rule number: rules in order, a match that overlaps one already taken is dropped, touching is allowed; by place."""
+    if not _SIGNS.search(text):  # every built-in needs one of these
+        rules = [rule if rule.kind not in BUILTINS else None for rule in rules]
     taken: list[tuple[int, int, int]] = []
     for k, rule in enumerate(rules):
+        if rule is None:
+            continue
         new = []
         for a, z in _find(text, rule):
             i = bisect.bisect_left(taken, (a, a, -1))
