@@ -228,6 +228,18 @@ def test_no_verified_window_is_lost_to_its_fingerprint(spark, monkeypatch):
     assert [x[0] for x in found[0]] == [9] and found[0][0][1] >= 0.8 and found[0][0][4] > 20 and found[1] == []
 
 
+def test_decontamination_of_other_columns(spark):
+    """Further columns with the operator's own names, another text column, repeated rows and null ids."""
+    text = "some words of an item that is quite long enough to be found"
+    docs = [(1, f"so: {text}, and on", "a", 1, 0.5), (1, f"so: {text}, and on", "a", 1, 0.5), (None, text, None, None, None), (2, None, "b", 2, 0.1)]
+    d = spark.createDataFrame(docs, "doc_id long, body string, t string, item_id long, similarity double")
+    b = spark.createDataFrame([(7, text, "no text")], "item_id long, words string, text string")
+    options = {"text_col": "body", "item_text_col": "words"}
+    assert sorted((r.doc_id or 0, r.item_id) for r in dc.contaminated(d, b, **options).collect()) == [(0, 7), (1, 7), (1, 7)]
+    clean = dc.decontaminate(d, b, **options)
+    assert clean.columns == d.columns and [tuple(r) for r in clean.collect()] == [docs[3]]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     items = [(k, f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}") for k in range(6)]
     docs = [(k, "x y " + t + " z") for k, t in items]

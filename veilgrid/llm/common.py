@@ -37,6 +37,11 @@ def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return _stored(df, name, folder or shared_folder(df.sparkSession, "table"))
 
 
+def salts(spark: SparkSession) -> int:
+    """Parts that a hot key is split in: as many as tasks of a shuffle, so that a key that a third of all rows share is no larger a part than others."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like name that df doesn't have, whatever the case."""
     have = {c.lower() for c in df.columns}

@@ -152,7 +152,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
         yield held
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 5, least: float = 0.8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """Pairs (id, item_id, similarity, first_word, n_words, distance): a document and an item that it holds, at the best window.
 
     Nothing is shuffled: each block of the benchmark is broadcast (BLOCK_BYTES at most) and searched for in all documents.
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = f"id {kind}, item_id {item_kind}, similarity double, first_word bigint, n_words bigint, distance int"
     out = None
-    for block in _blocks(benchmark, item_col, text_col):
+    for block in _blocks(benchmark, item_col, item_text_col):
         sent = spark.sparkContext.broadcast(block)
         found = src.mapInArrow(_search(sent, width, least, schema), schema)
         out = found if out is None else out.unionByName(found)
@@ -188,11 +188,11 @@ def _search(sent, width: int, least: float, schema: str):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = 5, least: float = 0.8) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs in which no item is found, whole and in their own columns; nothing is shuffled. Cases as in contaminated()."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for block in _blocks(benchmark, item_col, "text"):
+    for block in _blocks(benchmark, item_col, item_text_col):
         docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(block), width, least, at), docs.schema)
     return docs
 

@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilgrid.llm.common import LOWER, UPPER, fresh
+from veilgrid.llm.common import LOWER, UPPER, fresh, salts
 
-SALTS = 16
 _KEYS = ["digest", "mark"]
 
 
@@ -28,7 +27,7 @@ def _sha256(data: bytes) -> bytes:
     return hashlib.sha256(data).digest()
 
 
-def _keyed(with_content: bool, digest):
+def _keyed(with_content: bool, digest, parts: int):
     """Per row: id, salt (by id), digest and a second hash of the normalised text, and the content itself where asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +37,7 @@ def _keyed(with_content: bool, digest):
             texts = pc.ascii_lower(pc.fill_null(batch.column(1), "")).cast(pa.binary()).to_pylist()
             cols = [
                 ids,
-                pa.array([zlib_salt(i) for i in ids.to_pylist()], pa.int32()),
+                pa.array([salt_of(i, parts) for i in ids.to_pylist()], pa.int32()),
                 pa.array([digest(t) for t in texts], pa.binary()),
                 pa.array([xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts], pa.int64()),
             ]
@@ -51,8 +50,8 @@ def _keyed(with_content: bool, digest):
     return run
 
 
-def zlib_salt(value) -> int:
-    return xxhash.xxh32_intdigest(repr(value).encode()) % SALTS
+def salt_of(value, parts: int) -> int:
+    return xxhash.xxh32_intdigest(repr(value).encode()) % parts
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=_sha256) -> DataFrame:
@@ -63,10 +62,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is kept only if all its group's ids are null (keep_id is then null). An empty table gives no rows; other columns are
     not read. text_sha256 is the digest in hex (of the normalised text in UTF-8).
     """
-    kind = dict(docs.dtypes)[id_col]
+    kind, parts = dict(docs.dtypes)[id_col], salts(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = f"id {kind}, salt int, digest binary, mark bigint"
-    full = src.mapInArrow(_keyed(True, digest), schema + ", content binary")
+    full = src.mapInArrow(_keyed(True, digest, parts), schema + ", content binary")
     salted = full.groupBy(*_KEYS, "salt", "content").agg(F.max("id").alias("top"), F.count("*").alias("n"))
     classes = (
         salted.groupBy(*_KEYS, "content")
@@ -77,7 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("group_size", F.when(F.col("variants") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two contents share both hashes")).cast("long")))
         .select(*_KEYS, F.explode("salts").alias("salt"), "keep_id", "group_size")
     )
-    rows = src.mapInArrow(_keyed(False, digest), schema)
+    rows = src.mapInArrow(_keyed(False, digest, parts), schema)
     first = F.row_number().over(W.partitionBy(*_KEYS, "salt", "id").orderBy(F.lit(1))) == 1
     return (
         rows.join(classes, [*_KEYS, "salt"])

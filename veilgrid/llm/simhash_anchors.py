@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StringType, StructField, StructType
 
-from veilgrid.llm.common import LOWER_BYTES, fresh, shared_folder, stored
+from veilgrid.llm.common import LOWER_BYTES, fresh, salts, shared_folder, stored
 from veilgrid.llm.components import components
 
-SALTS = 16
 HOT = 4096
 CODE = 15
 #: Runs of up to so many fingerprints are compared by shifts, all runs at once.
@@ -89,13 +88,14 @@ def column_prints(texts, width: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """id, fp (the fingerprint's bits as a bigint), salt (by id)."""
+    parts = salts(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0)
-            salts = [xxhash.xxh32_intdigest(repr(i).encode()) % SALTS for i in ids.to_pylist()]
+            own = [xxhash.xxh32_intdigest(repr(i).encode()) % parts for i in ids.to_pylist()]
             fps = column_prints(b.column(1), width)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps), pa.array(salts, pa.int32())], ["id", "fp", "salt"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(fps), pa.array(own, pa.int32())], ["id", "fp", "salt"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp bigint, salt int")
@@ -265,7 +265,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = stored(some.groupBy("fp").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts")), "words", folder)
     roots = components(fingerprint_links(words, radius, blocks)).select(F.col("v").alias("fp"), F.col("m").alias("root"))
     words = words.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    words = words.withColumn("spread", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    words = words.withColumn("spread", F.pmod(F.xxhash64("fp"), F.lit(salts(spark))).cast("int"))
     least = words.groupBy("root", "spread").agg(F.min("least").alias("first"))
     least = least.groupBy("root").agg(F.min("first").alias("component_id"), F.collect_set("spread").alias("spreads"))
     least = least.select("root", "component_id", F.explode("spreads").alias("spread"))

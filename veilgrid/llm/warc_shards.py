@@ -18,6 +18,7 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,9 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from veilgrid.llm.common import shared_folder
+from veilgrid.llm.common import salts, shared_folder
 
-SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST_FILE = "manifest.jsonl"
@@ -38,15 +38,15 @@ MANIFEST = "file string, records bigint, bytes bigint, sha256 string"
 _KEYS = ["sha256", "size"]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], squeeze=None) -> Iterator[pa.RecordBatch]:
-    """id, url, payload -> id, salt, url, digests, size, compressed payload."""
+def _pack(batches: Iterator[pa.RecordBatch], parts: int, squeeze=None) -> Iterator[pa.RecordBatch]:
+    """id, url, payload -> id, salt (one of parts, by id), url, digests, size, compressed payload."""
     squeeze = squeeze or zstandard.ZstdCompressor(level=1).compress
     for b in batches:
         data = [(t or "").encode() for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 b.column(0),
-                pa.array([xxhash.xxh32_intdigest(repr(i).encode()) % SALTS for i in b.column(0).to_pylist()], pa.int32()),
+                pa.array([xxhash.xxh32_intdigest(repr(i).encode()) % parts for i in b.column(0).to_pylist()], pa.int32()),
                 b.column(1),
                 pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in data], pa.string()),
                 pa.array([hashlib.sha256(x).digest() for x in data], pa.binary()),
@@ -57,9 +57,9 @@ def _pack(batches: Iterator[pa.RecordBatch], squeeze=None) -> Iterator[pa.Record
         )
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """What of _pack's rows tells equal payloads."""
-    for b in _pack(batches, bytes):
+    for b in _pack(batches, parts, bytes):
         yield b.select(["id", "salt", "sha256", "size"])
 
 
@@ -115,7 +115,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     kind = dict(pages.dtypes)[id_col]
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
     kinds = f"id {kind}, salt int, url string, sha1 string, sha256 binary, size bigint, packed binary"
-    packed, digests = src.mapInArrow(_pack, kinds), src.mapInArrow(_digests, f"id {kind}, salt int, sha256 binary, size bigint")
+    parts = salts(spark)
+    packed, digests = src.mapInArrow(partial(_pack, parts=parts), kinds), src.mapInArrow(partial(_digests, parts=parts), f"id {kind}, salt int, sha256 binary, size bigint")
     classes = (
         digests.where(F.col("size") >= min_payload)
         .groupBy(*_KEYS, "salt").agg(F.min("id").alias("first"))
