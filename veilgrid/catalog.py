@@ -604,13 +604,18 @@ def l8_base_exclusion(spark, d):
     return out.withColumn("left_md5", F.when(F.col("removed") > 0, F.md5(F.col("text").cast("binary")))).drop("text")
 
 
+def _word(words: str) -> str:
+    """SQL's regex for words of any script's borders (its own border knows ASCII alone)."""
+    return f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{words})(?:[^\\p{{L}}\\p{{N}}_]|$)"
+
+
 _CLAIM = "CASE WHEN doc_id % 4 = 0 THEN '. All values are always positive. Every case was proved by a theorem.' ELSE '. In every sample the measured rate held.' END"
 
 
 @query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text || {_CLAIM}, '\\n+', chr(1), 'g'), '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM documents),
          e AS (SELECT doc_id, unnest(range(len(ss)))::INT AS place, unnest(ss) AS s FROM s),
-         b AS (SELECT *, CASE WHEN regexp_matches(s, '(?i)\\b(?:theorem|proof|proved|lemma|proven)\\b') THEN 'theorem' WHEN regexp_matches(s, '(?i)\\b(?:enumerat\\w*|exhaustive\\w*|checked all)\\b') THEN 'enumerated' WHEN regexp_matches(s, '(?i)\\b(?:sample\\w*|survey\\w*|experiment\\w*)\\b') THEN 'sample' ELSE 'unbacked' END AS backing,
-           CASE WHEN regexp_matches(s, '(?i)\\b(?:measured|average|median|per ?cent|%|rate)\\b') THEN 'measured' ELSE 'universal' END AS scope FROM e WHERE regexp_matches(s, '(?i)\\b(?:all|always|every|never|none|no|must|only|any|guaranteed?|certain(?:ly)?)\\b'))
+         b AS (SELECT *, CASE WHEN regexp_matches(s, '{_word("theorem|proof|proved|lemma|proven")}') THEN 'theorem' WHEN regexp_matches(s, '{_word("enumerat[A-Za-z0-9_]*|exhaustive[A-Za-z0-9_]*|checked all")}') THEN 'enumerated' WHEN regexp_matches(s, '{_word("sample[A-Za-z0-9_]*|survey[A-Za-z0-9_]*|experiment[A-Za-z0-9_]*")}') THEN 'sample' ELSE 'unbacked' END AS backing,
+           CASE WHEN regexp_matches(s, '{_word("measured|average|median|per ?cent|rate")}') OR regexp_matches(s, '[\\p{{L}}\\p{{N}}_]%[\\p{{L}}\\p{{N}}_]') THEN 'measured' ELSE 'universal' END AS scope FROM e WHERE regexp_matches(s, '{_word("all|always|every|never|none|no|must|only|any|guaranteed?|certain(?:ly)?")}'))
          SELECT doc_id, place AS "at", sha256(s) AS sentence_sha256, scope, backing, array_to_string(list_filter(['always', 'every'], lambda m: contains(s, m)), ',') AS markers,
            CASE WHEN backing = 'unbacked' AND scope = 'universal' THEN 'RED' ELSE 'YELLOW' END AS signal FROM b WHERE backing IN ('unbacked', 'sample')""")
 def l3_quantifier_audit(spark, d):
