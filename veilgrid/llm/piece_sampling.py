@@ -34,9 +34,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from veilgrid.llm.common import fresh
 
 #: Texts are sampled in groups of about so many characters (a longer text is a group of its own).
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 600_000
 #: Lattice edges that a task keeps (about 30 bytes each).
-MAX_EDGES = 3_000_000
+MAX_EDGES = 1_500_000
 #: Values along a path are made so many at a time; none of the uniform numbers has a Gumbel value above TOP.
 STEP, TOP = 128, 37.5
 SPACE = "▁"
@@ -356,7 +356,7 @@ def _make_values(paths: list[_Path], lattice: Lattice) -> None:
             values = np.where(some, along[:, :-1] + np.log(-np.expm1(np.minimum(log_q, 0.0))) - np.log(-np.log(noise)), -np.inf)
         for p, new, before, n in zip(paths, values, along[:, -1].tolist(), some.sum(1).tolist()):
             p.values, p.before = np.concatenate([p.values, new[:n]]), before
-        step = min(4 * step, 4096)
+        step = min(4 * step, max(STEP, 400_000 // len(paths)))
 
 
 def _units(text: str) -> list[str]:
@@ -495,6 +495,7 @@ def sample_segmentations(docs: DataFrame, path: str, id_col: str = "doc_id", tex
                     ids, texts, size = [], [], 0
             if ids:
                 yield rows(b.schema.field(0).type, ids, texts, known)
+            pa.default_memory_pool().release_unused()
 
     def rows(kind, ids, texts, known):
         found = sample_group(texts, [xxhash.xxh64_intdigest(f"{seed}:{i!r}".encode()) for i in ids], k, known.v, known)
