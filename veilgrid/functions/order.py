@@ -1,4 +1,7 @@
-"""Prompt surface in six axes: counts and evidence of patterns, Japanese and English. Vocabulary, not meaning."""
+"""Prompt surface in six axes: counts and evidence of patterns, Japanese and English. Vocabulary, not meaning.
+
+The words and patterns are the vocabulary that results must agree with: they are data, and the same as elsewhere by necessity.
+"""
 
 from __future__ import annotations
 
