@@ -262,6 +262,26 @@ def test_kept_lattices_change_nothing(monkeypatch):
             assert show(piece_sampling.sample_group([texts[i] for i in part], part, 3, v, known)) == [want[i] for i in part]
 
 
+def test_full_lattices_are_not_made_anew(monkeypatch):
+    """What is kept stays when no more is taken; it gives way only to texts that have little of it."""
+    v, made = piece_sampling.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), []
+
+    class Counted(piece_sampling.Lattice):
+        def __init__(self, units, v):
+            made.extend(units)
+            super().__init__(units, v)
+
+    monkeypatch.setattr(piece_sampling, "Lattice", Counted)
+    monkeypatch.setattr(piece_sampling, "MAX_EDGES", 10)
+    known = piece_sampling.Units(v)
+    known.first(["▁the", "▁cat", "▁sat", "▁here"])
+    for k in range(3):
+        known.first(["▁the", "▁cat", "▁sat", f"▁other{k}"])
+    assert Counter(made)["▁the"] == 1 and len(made) == 7 and len(known.node) == 4
+    known.first(["▁new", "▁words", "▁the"])
+    assert set(known.node) == {"▁new", "▁words", "▁the"}
+
+
 def test_decoding_cases(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     v = piece_sampling.vocabulary(path)

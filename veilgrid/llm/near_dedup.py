@@ -4,7 +4,7 @@ Nothing is lost: sets x and y of similarity `least` share at least least * |x| s
 first |x| - ceil(least * |x|) + 1 of x and the same of y have one in common. Rows meet by those shingles; where two meet first,
 their sizes and positions bound what they can share. (A SimHash radius for 0.8 is about 20 of 64 bits, for which blocks are 3
 bits wide: nearly all pairs meet, and some are still missed.) Shingles that recur in a sample of the rows come last in the
-order, so that the common ones rarely bring rows together; the sample decides on speed only.
+order, so that the common ones rarely bring rows together; the sample and the map of them decide on speed only.
 
 Where rows meet, each is first paired with the first and the next by size, which joins copies by a link each. Of the rest, only
 pairs that those links have not joined are candidates, and only those whose histograms of shingle hashes allow the similarity
@@ -27,8 +27,11 @@ from veilgrid.llm.simhash_anchors import shingle_hashes
 
 #: Runs of up to so many rows are paired by shifts, all runs at once; longer ones a row at a time.
 SHORT = 64
-#: One row in SAMPLE is looked at for common shingles: those of two or more of these rows, at most MOST_COMMON (8 bytes each).
-SAMPLE, MOST_COMMON = 8, 2_000_000
+#: One row in SAMPLE is looked at for common shingles: those of two or more of these rows. A map of bits by hash tells them, of
+#: 2 ** MAP_BITS bits (16 MB) at most and four a shingle at least; a shingle that it takes for common by mistake comes late, too.
+SAMPLE, MAP_BITS = 8, 27
+#: The map is made in so many (a power of two) parts.
+PARTS = 64
 BUCKETS = 256
 _ROWS = "shingle bigint, rid bigint, n int, pos int"
 
@@ -55,6 +58,32 @@ def _in(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
+def _slots(shingles: np.ndarray, bits: int) -> np.ndarray:
+    return (shingles.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _mapped(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingles the map of common ones has."""
+    at = _slots(shingles, (8 * len(common)).bit_length() - 1)
+    return (common[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def map_of(shingles: DataFrame, bits: int) -> np.ndarray:
+    """The map of 2 ** bits bits with those of shingles (column shingle) set: its parts are made where the shingles are."""
+    size = (1 << bits) // PARTS
+
+    def part(key, rows):
+        out = np.zeros(size, bool)
+        out[_slots(rows["shingle"].to_numpy(), bits) % size] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    parts = shingles.select("shingle", F.shiftrightunsigned("shingle", 64 - PARTS.bit_length() + 1).alias("part"))
+    out = np.zeros((PARTS, size // 8), np.uint8)
+    for r in parts.groupBy("part").applyInArrow(part, "part bigint, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
 def _sampled(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,16 +94,16 @@ def _sampled(width: int):
 
 
 def _prefixes(sent, width: int, least: float):
-    """rid, text -> the rows of each text's prefix: shingles outside the common ones first."""
+    """rid, text -> the rows of each text's prefix: shingles outside the map of common ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = sent.value
+        common = sent.value
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 held, sizes = [], []
                 for t in b.column(1).slice(at, 1000):
                     s = shingle_set(t.as_py(), width)
-                    late = _in(s, keys)
+                    late = _mapped(s, common)
                     held.append(np.r_[s[~late], s[late]][: len(s) - math.ceil(least * len(s) - 1e-9) + 1])
                     sizes.append(len(s))
                 lens = [len(h) for h in held]
@@ -213,15 +242,15 @@ def similar_links(rows: DataFrame, width: int, least: float, folder: str) -> Dat
     spark = rows.sparkSession
     sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("t").mapInArrow(_sampled(width), "shingle bigint")
     counts = stored(sample.groupBy("shingle").count().where("count > 1"), "counts", folder)
-    # The counts from a power of two on: so many that they are MOST_COMMON at most.
+    # The counts from a power of two on: so many that the map has four bits a shingle at least.
     bits, least_bits, many = F.length(F.bin("count")), 64, 0
     for r in sorted(counts.groupBy(bits.alias("bits")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["bits"]):
-        many += r["n"]
-        if many > MOST_COMMON:
+        if 4 * (many + r["n"]) > 1 << MAP_BITS:
             break
+        many += r["n"]
         least_bits = r["bits"]
-    common = counts.where(bits >= least_bits).select("shingle").toArrow()
-    sent = spark.sparkContext.broadcast(np.sort(common.column(0).to_numpy()))
+    common = map_of(counts.where(bits >= least_bits), min(MAP_BITS, max(16, (16 * many).bit_length())))
+    sent = spark.sparkContext.broadcast(common)
 
     met = rows.select("rid", "t").mapInArrow(_prefixes(sent, width, least), _ROWS)
     met = met.repartition("shingle").sortWithinPartitions("shingle", "n", "rid").mapInArrow(_meet(least), f"u bigint, v bigint, {_ROWS}")

@@ -237,6 +237,13 @@ class Lattice:
         self.widest = max(self.widest, more.widest)
         return more.first + nodes
 
+    def cut(self, nodes: int, edges: int) -> None:
+        """Leave just the units of the first so many nodes and edges."""
+        if edges < len(self.to):
+            self.begin = self.begin[: nodes + 1]
+            for name in ("to", "token", "ends", "log_q", "share"):
+                setattr(self, name, getattr(self, name)[:edges])
+
     def draw(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge of each node at which its edges' shares pass u."""
         lo, hi = self.begin[nodes], self.begin[nodes + 1] - 1
@@ -266,7 +273,10 @@ class Lattice:
 
 
 class Units:
-    """Numbers of the first nodes of units, and the lattices of all units met so far: what goes beyond MAX_EDGES is made anew."""
+    """Numbers of the first nodes of units, and the lattices of the units met first, up to MAX_EDGES; what goes beyond is made for its group alone.
+
+    Where over half of a group's units are not among those kept, they are forgotten and the group's are kept instead.
+    """
 
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -274,15 +284,21 @@ class Units:
 
     def _clear(self) -> None:
         self.node, self.lattice = {}, Lattice([], self.v)
+        self.kept = (0, 0)
 
     def first(self, units: list[str]) -> np.ndarray:
-        if len(self.lattice.to) > MAX_EDGES:
-            self._clear()
+        self.lattice.cut(*self.kept)
         found = list(map(self.node.get, units))
+        full = self.kept[1] > MAX_EDGES
+        if full and 2 * found.count(None) > len(found):
+            self._clear()
+            found, full = [None] * len(units), False
         new = dict.fromkeys(u for u, at in zip(units, found) if at is None)
         if new:
             new.update(zip(new, self.lattice.join(Lattice(list(new), self.v)).tolist()))
-            self.node.update(new)
+            if not full:
+                self.node.update(new)
+                self.kept = (len(self.lattice.begin) - 1, len(self.lattice.to))
             found = [new[u] if at is None else at for u, at in zip(units, found)]
         return np.array(found, np.int32)
 
