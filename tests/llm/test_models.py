@@ -324,6 +324,22 @@ def test_ranking_is_the_least_loss():
     assert np.allclose(v, w, atol=1e-4) and all(loss(v) <= loss(v + 0.01 * rng.normal(size=6)) for _ in range(50))
 
 
+def test_ranking_takes_all_pairs_of_all_labels(spark):
+    """The fit against explicit differences of all pairs, and the threshold against numpy's quantile."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "Beta", "gamma.", "of", "the", "###"], 30, p=[0.2, 0.2, 0.2, 0.2, 0.2 - q, q])), int(q < 0.08)) for i, q in enumerate(rng.uniform(0, 0.2, 150).tolist())]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    model = quality_pairs.fit(docs, labels, F.lit(True))
+    x, y = np.stack([quality_pairs.features(t) for _, t, _ in rows]).astype(np.float64), np.array([y for _, _, y in rows])
+    spread = x.std(0)
+    scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-6), 0.0)
+    want = quality_pairs.newton(((x[y == 1][:, None] - x[y == 0][None]) * scale).reshape(-1, x.shape[1]), 1e-3) * scale
+    worth = (x - x.mean(0)) @ want
+    assert np.allclose(model.worth(x), worth, atol=2e-3) and abs(model.threshold - np.quantile(worth, (y == 0).mean())) < 2e-3
+
+
 def test_ranking_cases(spark):
     """Repeated ids and rows, null ids and texts, empty tables, and a score of just the threshold."""
     from pyspark.sql import functions as F
