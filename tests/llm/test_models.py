@@ -33,6 +33,50 @@ def test_language_model_counts_and_gain(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_word_is_a_context(spark):
+    """Words of one last character, each with a successor of its own, are told apart, whether their totals are sent to all tasks or added up by buckets."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"a{k}x b{k}y" for k in rng.integers(0, 60, 12).tolist())) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mean = lambda **more: np.mean([r.score / r.n_tokens for r in hpylm.score_texts(df, shards=5, **more).collect() if r.held_out])
+    none, all_ = mean(contexts=0), mean(share=1e-9)
+    assert abs(none - all_) < 0.02 and none > -1.1  # half the tokens follow from the one before, the others are one in 60: -0.9 or so
+
+
+def test_the_rest_is_a_distribution():
+    """Contexts that are not in the inventory, in two shards: probabilities of all words add up to one, totals to the shards' parts."""
+    contexts, parents = {b"the": 0}, np.array([hpylm._class_of(b"the")])
+    number: dict = {b"": 0}
+    flat, lens = [], []
+    for _, t in TEXTS:
+        ws = t.encode().split()
+        flat += [number.setdefault(w, len(number)) for w in [*ws, b""]]
+        lens.append(len(ws) + 1)
+    chunk = hpylm._pack(words=hpylm._joined(list(number)), n=np.array([len(number)]), flat=np.array(flat), lens=np.array(lens), train=np.ones(len(lens), bool))
+    (made,) = hpylm._requests(contexts, 1)([hpylm.pa.RecordBatch.from_arrays([hpylm.pa.array([0]), hpylm.pa.array([chunk])], ["chunk", "texts"])])
+    asked = hpylm._unpack(made.column(2)[0].as_py())
+    shard = hpylm.Shard.merged([asked], parents)
+    sums, (x, _) = shard.first_sums(1), hpylm.rest_contexts([asked])
+    assert len(x) == len(number) - 2  # all but the end and the one in the inventory
+    backs = []
+    for n in range(4):
+        told = [hpylm._unpack(d) for d in shard.told(3, x if not n else None) if d]
+        shard.hear([{"t": d["t"], "c": d["c"], "i": np.arange(len(d["t"]))} for d in told])
+        t = hpylm.Totals(list(parents), sums)
+        assert int(t.c[t.row(2)].sum() + shard.s["xc"].sum()) == int(shard.s["c2"].sum()) == len(flat) - len(lens)
+        if n:
+            shard.keep_sample(t)
+            backs.append([t.back(level) for level in range(3)])
+        if n < 3:
+            sums = shard.sweep(t, np.random.default_rng(n))
+    words = hpylm._split(asked["words"], int(asked["n"][0]))
+    every = [*words, b"never seen"]
+    for k in range(-1, len(x)):
+        q = {"words": hpylm._joined(every), "n": np.array([len(every)]), "w": np.arange(len(every)), "r": np.full(len(every), hpylm.CLASSES + 1 + max(k, 0) if k >= 0 else hpylm.CLASSES), "x": x}
+        _, p = shard.answer(q, parents, [np.array([b[level] for b in backs]) for level in range(3)], len(words), x)
+        assert math.isclose(p.sum(), 1.0, rel_tol=1e-5) and (p > 0).all()
+
+
 def test_language_model_is_a_distribution():
     """Over all training words and the unknown one, in a context seen, a class seen and a class unseen."""
     contexts = {b"the": 0, b"a": 1}

@@ -2,15 +2,16 @@
 
 Restaurants, and who shares a parent: the root serves words by themselves; a class restaurant, one for each last character
 class of the word before (and one for the start of a text), has the root as parent; a context restaurant, one for each word
-that makes up `share` or more of the training tokens, as the word before, has the class restaurant of that word as parent.
-Every token is a customer of the context restaurant of the word before, or, if that word has none, of its class restaurant.
-So there are as many context restaurants as the corpus has frequent words, 1 / share at most (which bounds what is sent to
-all tasks); dishes (words), their counts and tables grow with the corpus. The base is uniform over the V training tokens and
-one unknown.
+as the word before, has the class restaurant of that word as parent. Every token is a customer of the context restaurant of the
+word before, or, at the start of a text, of that class restaurant. Dishes (words), restaurants, their counts and tables grow
+with the corpus. The base is uniform over the V training tokens and one unknown.
 
 All of a word's customers and tables, at all levels, lie in the shard of that word, so only the totals of the restaurants (two
 numbers each) couple shards; they are summed between sweeps (approximate distributed Gibbs: within a sweep a shard sees the
-totals and the parents' probabilities of the sweep before). A customer sits down at a table in proportion to its customers less
+totals and the parents' probabilities of the sweep before). The totals of the root, the classes and the contexts that make up
+`share` or more of the training tokens (1 / share at most) are sent to all tasks. Those of all other contexts are added up by
+buckets of their hashes (64 bits; words of one hash would share a restaurant): a shard tells its part of each context that any of
+its words was asked for in, and gets the totals back, as a file of its own. A customer sits down at a table in proportion to its customers less
 the discount, or at a new one in proportion to q = (strength + discount * tables) times the parent's probability; a table more
 or less is a customer more or less of the parent. Reseated one by one, customers change the number of a word's tables slowly
 (hundreds of sweeps would not do for frequent words), so a sweep is a blocked Gibbs step: level by level from below, it seats
@@ -27,6 +28,7 @@ order asked. Everything that passes between chunks and shards is one binary per
 
 from __future__ import annotations
 
+import ctypes
 import io
 import math
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -51,8 +55,9 @@ EXACT = 64
 #: Class restaurants: the start of a text, a-z, digits, sentence ends, other ASCII, all else.
 CLASSES = 31
 _START = 0
+_LIBC = ctypes.CDLL(None)
 #: Arrays that rise, by name.
-_SORTED = {"w", "w1", "w2", "o0", "o1", "o2"}
+_SORTED = {"w", "w1", "w2", "o0", "o1", "o2", "x", "i", "xi"}
 
 
 def _class_of(word: bytes) -> int:
@@ -66,6 +71,9 @@ def _class_of(word: bytes) -> int:
     return 29 if b < 128 else 30
 
 
+_CLASS = np.array([_class_of(bytes([b])) for b in range(256)], np.int8)
+
+
 def _pack(**arrays) -> bytes:
     """Arrays by name, compressed: bytes of equal weight lie together (small numbers' high bytes are alike), and sorted ones as steps."""
     out = io.BytesIO()
@@ -99,6 +107,24 @@ def _split(data: np.ndarray, n: int) -> list[bytes]:
     return data.tobytes().split(b"\n") if n else []
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _classes(joined: np.ndarray, n: int) -> np.ndarray:
+    """_class_of() each of n words."""
+    last = np.r_[np.flatnonzero(joined == 10), len(joined)][:n] - 1
+    empty = last < np.r_[0, last[:-1] + 2] if n else np.zeros(0, bool)
+    return np.where(empty, _class_of(b""), _CLASS[joined[np.maximum(last, 0)]]) if len(joined) else np.full(n, _class_of(b""), np.int8)
+
+
+def _give_back() -> None:
+    """Memory that shards before took, to the system: a worker's next one may be larger."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 # Chunks
 
 
@@ -152,13 +178,17 @@ def _chunks(folds: int, held: int, share: float):
     return run
 
 
-def _pairs(texts: dict[str, np.ndarray], contexts: dict[bytes, int], shards: int):
-    """What a chunk asks: words in shard order, and its distinct (word, restaurant) pairs in the order of those words."""
+def _pairs(texts: dict[str, np.ndarray], contexts: dict[bytes, int], shards: int, rest: bool = False):
+    """What a chunk asks: words in shard order, and its distinct (word, restaurant) pairs in the order of those words.
+
+    Words that are not in contexts have restaurants by their number in the chunk, behind those, if rest is set, and else none.
+    """
     n, flat, lens = int(texts["n"][0]), texts["flat"], texts["lens"]
-    words = _split(texts["words"], n)
-    room = CLASSES + len(contexts)
-    seat = np.array([CLASSES + contexts[w] if w in contexts else _class_of(w) for w in words], np.int64)
-    shard = np.array([xxhash.xxh32_intdigest(w) % shards for w in words], np.int64)
+    words, kinds = _split(texts["words"], n), _classes(texts["words"], n)
+    room = CLASSES + len(contexts) + n * rest
+    known = np.array([contexts.get(w, -1) for w in words], np.int64)
+    seat = np.where(known >= 0, CLASSES + known, CLASSES + len(contexts) + np.arange(n) if rest else kinds)
+    shard = (_hashes(words) % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -174,7 +204,10 @@ def _requests(contexts: dict[bytes, int], shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1)):
-                words, shard, order, _, w, r, train, _ = _pairs(_unpack(data.as_py()), contexts, shards)
+                texts = _unpack(data.as_py())
+                words, shard, order, _, w, r, train, _ = _pairs(texts, contexts, shards, True)
+                hashes, kinds = _hashes(words), _classes(texts["words"], len(words))
+                first = CLASSES + len(contexts)
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 pair_cut = np.searchsorted(w, cut)
                 rows = []
@@ -183,7 +216,11 @@ def _requests(contexts: dict[bytes, int], shards: int):
                     if a < z:
                         p, q = int(pair_cut[k]), int(pair_cut[k + 1])
                         own = [words[i] for i in order[a:z].tolist()]
-                        rows.append((k, chunk, _pack(words=_joined(own), n=np.array([len(own)]), w=(w[p:q] - a).astype(np.int32), r=r[p:q].astype(np.int32), c=train[p:q].astype(np.int32))))
+                        at, deep = r[p:q].astype(np.int32), np.flatnonzero(r[p:q] >= first)
+                        x, which, where = np.unique(hashes[at[deep] - first], return_index=True, return_inverse=True)
+                        xk = kinds[at[deep[which]] - first]
+                        at[deep] = first + where
+                        rows.append((k, chunk, _pack(words=_joined(own), n=np.array([len(own)]), w=(w[p:q] - a).astype(np.int32), r=at, c=train[p:q].astype(np.int32), x=x, xk=xk)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["shard", "chunk", "asked"])
 
@@ -417,13 +454,14 @@ class Totals:
         c, t = self.c[self.row(level)], self.t[self.row(level)]
         return (self.strength[level] + self.discount[level] * t) / (self.strength[level] + c)
 
-    def redraw(self, sizes: np.ndarray, tails: np.ndarray, rng) -> None:
+    def redraw(self, sizes: np.ndarray, tails: np.ndarray, rng, rest: np.ndarray | None = None) -> None:
         """New discounts and strengths. sizes: by level, tables of more than 1, 2, ... EXACT - 1 customers; tails: by level, the sum
-        over larger tables of log((customers - d) / (EXACT - d))."""
+        over larger tables of log((customers - d) / (EXACT - d)); rest: what rest_of() tells of contexts that are not in parents."""
         for level in range(3):
             c, t = (x[self.row(level)] for x in (self.c, self.t))
             c, t = c[t >= 1], t[t >= 1]
-            if not len(t):
+            more = rest if level == 2 else None
+            if not len(t) and (more is None or not more[0]):
                 continue
             d, a = self.discount[level], self.strength[level]
             i = np.arange(1, EXACT)
@@ -432,26 +470,57 @@ class Totals:
             joins = rng.binomial(sizes[level], np.minimum(1, (1 - d) / (i - d))).sum() + rng.poisson((1 - d) * tails[level])
             big = c[c >= 2]
             log_x = np.log(np.maximum(rng.beta(a + 1, big - 1), 1e-300)).sum()
-            self.discount[level] = float(np.clip(rng.beta(1 + max(0, (t - 1).sum() - y), 1 + joins), 0.01, 0.99))
+            tables = (t - 1).sum()
+            if more is not None:
+                y += rng.binomial(more[4:].astype(np.int64), a / (a + d * i)).sum() + rng.poisson(a / d * more[2])
+                tables, log_x = tables + more[1], log_x + more[3]
+            self.discount[level] = float(np.clip(rng.beta(1 + max(0, tables - y), 1 + joins), 0.01, 0.99))
             self.strength[level] = float(np.clip(rng.gamma(1 + y, 1 / (1 - log_x)), 1e-3, 1e6))
 
 
+def rest_of(c: np.ndarray, t: np.ndarray, d: float, a: float, rng) -> np.ndarray:
+    """For Totals.redraw, of restaurants with c customers at t tables: how many have any; the sum of tables less one; of log((t + a / d) /
+    (EXACT + a / d)) where that is above 0; of log x, x ~ Beta(a + 1, c - 1); how many have more than 1, 2, ... EXACT - 1 tables."""
+    c, t = c[t >= 1], t[t >= 1]
+    big = c[c >= 2]
+    more = np.bincount(np.minimum(t, EXACT), minlength=EXACT + 1)[::-1].cumsum()[::-1][2:]
+    tail = np.log(np.maximum(1, (t + a / d) / (EXACT + a / d))).sum()
+    return np.r_[len(t), (t - 1).sum(), tail, np.log(np.maximum(rng.beta(a + 1, big - 1), 1e-300)).sum(), more].astype(float)
+
+
 class Shard:
-    """All words of one shard with their pairs at the three levels."""
+    """All words of one shard with their pairs at the three levels.
+
+    Contexts that are not in the inventory follow it, in the order of their hashes: xk has their classes, xc and xt their customers
+    and tables in all shards, xi their numbers in their buckets (which end at xcut), xs the xt of the samples.
+    """
 
     def __init__(self, state: dict[str, np.ndarray]):
-        self.s = state
+        self.s, self.sampled = state, []
+
+    @staticmethod
+    def loaded(data: bytes, parents: np.ndarray) -> "Shard":
+        """The shard of packed(); parents: the classes of the inventory."""
+        s = _unpack(data)
+        s["up2"] = np.searchsorted(s["w1"] * CLASSES + s["r1"], s["w2"] * CLASSES + np.concatenate([parents, s["xk"]]).astype(np.int64)[s["r2"]])
+        return Shard(s)
+
+    def packed(self) -> bytes:
+        return _pack(**{k: x for k, x in self.s.items() if k != "up2"})
 
     @staticmethod
     def merged(asked: list[dict[str, np.ndarray]], parents: np.ndarray) -> "Shard":
         every: dict[bytes, int] = {}
         w, r, c = [], [], []
+        first = CLASSES + len(parents)
+        x, which = rest_contexts(asked)
+        xk = np.concatenate([a["xk"] for a in asked if "x" in a] or [np.zeros(0, np.int8)])[which]
         for a in asked:
             put = every.setdefault
             local = np.array([put(x, len(every)) for x in _split(a["words"], int(a["n"][0]))], np.int64)
             some = a["c"] > 0
             w.append(local[a["w"][some]])
-            r.append(a["r"][some].astype(np.int64))
+            r.append(_renumbered(a, x, first)[some])
             c.append(a["c"][some].astype(np.int64))
         w, r, c = np.concatenate(w), np.concatenate(r), np.concatenate(c)
         seen = np.unique(w)  # held-out words alone aren't kept: they are unknown
@@ -461,6 +530,7 @@ class Shard:
         rank = np.empty(len(names), np.int64)
         rank[order] = np.arange(len(names))
         w = rank[np.searchsorted(seen, w)]
+        parents = np.concatenate([parents, xk]).astype(np.int64)
         room = CLASSES + len(parents)
         key, where = np.unique(w * room + r, return_inverse=True)
         count = np.bincount(where, weights=c, minlength=len(key)).astype(np.int64) if len(key) else np.zeros(0, np.int64)
@@ -477,6 +547,7 @@ class Shard:
                 "count": np.bincount(w, weights=count, minlength=len(names)).astype(np.int64),
                 "w2": w2, "r2": r2, "c2": c2, "up2": np.searchsorted(key1, up),
                 "w1": key1 // CLASSES, "r1": key1 % CLASSES, "direct": direct,
+                "xk": xk, **{k: np.zeros(len(x), np.int32) for k in ("xc", "xt", "xi")},
             }
         )
 
@@ -490,10 +561,27 @@ class Shard:
     def _sums(self, n_contexts, c0, t0, c1, t1, c2, t2, tables=()) -> np.ndarray:
         s = self.s
         by1 = lambda x: np.bincount(s["r1"], weights=x, minlength=CLASSES)
-        by2 = lambda x: np.bincount(s["r2"], weights=x, minlength=n_contexts)
+        by2 = lambda x: np.bincount(s["r2"], weights=x, minlength=n_contexts)[:n_contexts]
+        self.rest = [np.bincount(s["r2"], weights=x, minlength=n_contexts + len(s["xk"]))[n_contexts:].astype(np.int32) for x in (c2, t2)]
         ones = [[(c == k).sum() for k in (1, 2)] for c in (c0, c1, c2)]
         return np.concatenate([[c0.sum()], by1(c1), by2(c2), [t0.sum()], by1(t1), by2(t2), [s["count"].sum(), len(c0)], *ones, *tables]).astype(np.int64)
 
+    def told(self, buckets: int, x: np.ndarray | None = None) -> list[bytes]:
+        """To each bucket: this shard's customers and tables of its contexts (after a sweep, or first_sums), which x has the hashes of the first time."""
+        s = self.s
+        if x is not None:
+            ends = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+            s["xcut"] = np.r_[0, np.searchsorted(x, ends), len(x)]
+        name, keys = ("i", s["xi"]) if x is None else ("x", x)
+        return [_pack(**{name: keys[a:z], "c": self.rest[0][a:z], "t": self.rest[1][a:z]}) if a < z else None for a, z in zip(s["xcut"].tolist(), s["xcut"][1:].tolist())]
+
+    def hear(self, replies: list[dict[str, np.ndarray]]) -> None:
+        """The totals, in order of buckets."""
+        if replies:
+            self.s["xt"] = np.concatenate([x["t"] for x in replies])
+            if "i" in replies[0]:
+                self.s["xi"], self.s["xc"] = (np.concatenate([x[k] for x in replies]) for k in ("i", "c"))
+
     def seats(self, totals: Totals) -> list[Seats]:
         s, d = self.s, totals.discount
         if "z0" not in s:
@@ -501,14 +589,15 @@ class Shard:
             return [Seats(np.zeros(n, np.int64), none, none, d[k]) for k, n in enumerate((int(s["n"][0]), len(s["w1"]), len(s["w2"])))]
         return [Seats(np.bincount(s[f"o{k}"], weights=s[f"z{k}"], minlength=n).astype(np.int64), s[f"z{k}"], s[f"o{k}"], d[k]) for k, n in enumerate((int(s["n"][0]), len(s["w1"]), len(s["w2"])))]
 
-    def probabilities(self, seats: list[Seats], totals: Totals) -> list[np.ndarray]:
-        """Of words at the root, and of the pairs at the other two levels, under the totals."""
-        s, d = self.s, totals.discount
-        own = lambda k: seats[k].c - d[k] * seats[k].tables()
-        a = totals.strength
-        p0 = own(0) / (a[0] + totals.c[0]) + totals.back(0)[0] / (totals.v + 1)
-        p1 = own(1) / (a[1] + totals.c[totals.row(1)][s["r1"]]) + totals.back(1)[s["r1"]] * p0[s["w1"]]
-        p2 = own(2) / (a[2] + totals.c[totals.row(2)][s["r2"]]) + totals.back(2)[s["r2"]] * p1[s["up2"]]
+    def probabilities(self, tables: list[np.ndarray], xt: np.ndarray, totals: Totals) -> list[np.ndarray]:
+        """Of words at the root, and of the pairs at the other two levels, given their tables, those of the contexts beyond the inventory, and the totals."""
+        s, d, a = self.s, totals.discount, totals.strength
+        c1 = s["direct"] + np.bincount(s["up2"], weights=tables[2], minlength=len(s["w1"]))
+        c0 = np.bincount(s["w1"], weights=tables[1], minlength=int(s["n"][0]))
+        c, t = (np.concatenate([x[totals.row(2)], y]) for x, y in ((totals.c, s["xc"]), (totals.t, xt)))
+        p0 = (c0 - d[0] * tables[0]) / (a[0] + totals.c[0]) + totals.back(0)[0] / (totals.v + 1)
+        p1 = (c1 - d[1] * tables[1]) / (a[1] + totals.c[totals.row(1)][s["r1"]]) + totals.back(1)[s["r1"]] * p0[s["w1"]]
+        p2 = (s["c2"] - d[2] * tables[2]) / (a[2] + c[s["r2"]]) + ((a[2] + d[2] * t) / (a[2] + c))[s["r2"]] * p1[s["up2"]]
         return [p0, p1, p2]
 
     def sweep(self, totals: Totals, rng) -> np.ndarray:
@@ -516,12 +605,12 @@ class Shard:
         s, d = self.s, totals.discount
         seats = self.seats(totals)
         if "z0" in s:
-            p0, p1, _ = self.probabilities(seats, totals)
+            p0, p1, _ = self.probabilities([x.tables() for x in seats], s["xt"], totals)
         else:
             p0 = (s["count"] + 1) / (totals.n + totals.v + 1)
             p1 = p0[s["w1"]]
-        weight = lambda k, r, p: (totals.strength[k] + d[k] * totals.t[totals.row(k)][r]) * p
-        q2, q1 = weight(2, s["r2"], p1[s["up2"]]), weight(1, s["r1"], p0[s["w1"]])
+        weight = lambda k, t, p: (totals.strength[k] + d[k] * t) * p
+        q2, q1 = weight(2, np.concatenate([totals.t[totals.row(2)], s["xt"]])[s["r2"]], p1[s["up2"]]), weight(1, totals.t[totals.row(1)][s["r1"]], p0[s["w1"]])
         q0 = np.full(len(p0), (totals.strength[0] + d[0] * totals.t[0]) / (totals.v + 1))
         seats[2].c = s["c2"].astype(np.int64)
         seats[2].gibbs(q2, rng)
@@ -542,35 +631,68 @@ class Shard:
         return self._sums(len(totals.parents), *flat, tables)
 
     def keep_sample(self, totals: Totals) -> None:
-        p = self.probabilities(self.seats(totals), totals)
-        for k in (0, 1):
-            self.s[f"p{k}"] = np.concatenate([self.s[f"p{k}"], p[k][None].astype(np.float32)]) if f"p{k}" in self.s else p[k][None].astype(np.float32)
-        self.s["p2"] = self.s.get("p2", 0) + p[2].astype(np.float32)
+        """Of a sample the shard keeps the tables (small numbers), from which and the totals the probabilities follow."""
+        self.sampled.append(totals)
+        for name, x in [*((f"t{k}s", x.tables().astype(np.int32)) for k, x in enumerate(self.seats(totals))), ("xs", self.s["xt"])]:
+            self.s[name] = np.concatenate([self.s[name], x[None]]) if name in self.s else x[None]
 
-    def answer(self, asked: dict[str, np.ndarray], parents: np.ndarray, backs: list[np.ndarray], v: int) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the words asked about, and mean probabilities of the pairs; backs: by level, (samples, restaurants)."""
+    def _finish(self, parents: np.ndarray, back: np.ndarray) -> None:
+        """Means and samples that answers are taken from."""
+        s = self.s
+        self._rank = {x: i for i, x in enumerate(_split(s["words"], int(s["n"][0])))}
+        self._parents, self._back = np.concatenate([parents, s["xk"]]).astype(np.int64), back
+        if len(s["xk"]):
+            self._back = np.concatenate([back, np.array([(t.strength[2] + t.discount[2] * x) / (t.strength[2] + s["xc"]) for t, x in zip(self.sampled, s["xs"])])], 1)
+        self._keys = s["w1"] * CLASSES + s["r1"], s["w2"] * max(1, len(self._parents)) + s["r2"]
+        p0, p1, self._p2 = [], [], np.zeros(len(s["w2"]))
+        for n, t in enumerate(self.sampled):
+            p = self.probabilities([s[f"t{k}s"][n] for k in range(3)], s["xs"][n], t)
+            p0.append(p[0].astype(np.float32))
+            p1.append(p[1].astype(np.float32))
+            self._p2 += p[2] / len(self.sampled)
+        self._p0, self._p1 = np.array(p0), np.array(p1)
+
+    def answer(self, asked: dict[str, np.ndarray], parents: np.ndarray, backs: list[np.ndarray], v: int, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the words asked about, and mean probabilities of the pairs; backs: by level, (samples, restaurants).
+
+        x: the hashes of contexts beyond parents.
+        """
         s = self.s
         if not hasattr(self, "_rank"):
-            self._rank = {x: i for i, x in enumerate(_split(s["words"], int(s["n"][0])))}
+            self._finish(parents, backs[2])
+        asked = asked | {"r": _renumbered(asked, x, CLASSES + len(parents))}
+        parents, backs, (key1, key2) = self._parents, [*backs[:2], self._back], self._keys
         local = np.array([self._rank.get(x, -1) for x in _split(asked["words"], int(asked["n"][0]))], np.int64)
         w, r = local[asked["w"]], asked["r"].astype(np.int64)
-        n = len(backs[0])
-        root = np.where(w >= 0, s["p0"][:, w], backs[0] / (v + 1)) if len(s["count"]) else np.repeat(backs[0] / (v + 1), len(w), 1)
+        root = np.where(w >= 0, self._p0[:, w], backs[0] / (v + 1)) if len(s["count"]) else np.repeat(backs[0] / (v + 1), len(w), 1)
         deep = r >= CLASSES
         kind = np.where(deep, parents[np.where(deep, r - CLASSES, 0)] if len(parents) else 0, r)
-        key1, key2 = s["w1"] * CLASSES + s["r1"], s["w2"] * max(1, len(parents)) + s["r2"]
         i, hit = _find(key1, np.where(w >= 0, w * CLASSES + kind, -1))
         p = backs[1][:, kind] * root
-        p[:, hit] = s["p1"][:, i[hit]] if len(key1) else 0
+        p[:, hit] = self._p1[:, i[hit]] if len(key1) else 0
         out = p.mean(0)
         d = np.flatnonzero(deep)
         if len(d):
             out[d] = (backs[2][:, r[d] - CLASSES] * p[:, d]).mean(0)
             i, hit = _find(key2, np.where(w[d] >= 0, w[d] * max(1, len(parents)) + r[d] - CLASSES, -1))
-            out[d[hit]] = s["p2"][i[hit]] / n
+            out[d[hit]] = self._p2[i[hit]]
         return np.where(local >= 0, s["count"][np.maximum(local, 0)], 0) if len(s["count"]) else np.zeros(len(local), np.int64), out
 
 
+def rest_contexts(asked: list[dict[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all contexts in requests that are not in the inventory, and where each is first."""
+    return np.unique(np.concatenate([a["x"] for a in asked if "x" in a] or [np.zeros(0, np.uint64)]), return_index=True)
+
+
+def _renumbered(asked: dict[str, np.ndarray], x: np.ndarray | None, first: int) -> np.ndarray:
+    """Restaurants asked about, those beyond the inventory (from first on) by their place in x."""
+    r = asked["r"].astype(np.int64)
+    if "x" in asked and len(asked["x"]):
+        deep = r >= first
+        r[deep] = first + np.searchsorted(x, asked["x"])[r[deep] - first]
+    return r
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(keys):
         return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
@@ -580,11 +702,51 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 # Rounds
 
-_STATE = "shard int, state binary, sums array<bigint>"
+_STATE = "shard int, state binary, sums array<bigint>, told array<binary>"
+_REPLY = "bucket int, data binary, rest array<double>, shard int"
 
 
-def _state_row(shard: int, state: Shard, sums: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_pack(**state.s)], pa.binary()), pa.array([sums.tolist()], pa.list_(pa.int64()))], ["shard", "state", "sums"])
+def _state_row(shard: int, state: Shard, sums: np.ndarray, told: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([state.packed()], pa.binary()), pa.array([sums.tolist()], pa.list_(pa.int64())), pa.array([told], pa.list_(pa.binary()))], ["shard", "state", "sums", "told"])
+
+
+def _replied(states: DataFrame, path: str, discount: float, strength: float, seed: list[int]) -> np.ndarray | None:
+    """Add up what shards told the buckets, write the totals by shard to path; the sum of rest_of()."""
+
+    def add(key, rows):
+        k = key[0].as_py()
+        got = sorted(zip(rows["shard"].to_pylist(), rows["data"].to_pylist()))
+        shards, parts = [x for x, _ in got], [_unpack(x) for _, x in got]
+        if first := "x" in parts[0]:
+            _, where = np.unique(np.concatenate([x["x"] for x in parts]), return_inverse=True)
+        else:
+            where = np.concatenate([x["i"] for x in parts]).astype(np.int64)
+        c, t = (np.bincount(where, weights=np.concatenate([x[n] for x in parts])).astype(np.int32) for n in ("c", "t"))
+        rest = rest_of(c.astype(np.int64), t.astype(np.int64), discount, strength, np.random.default_rng([*seed, k]))
+        own = np.split(where, np.cumsum([len(x["t"]) for x in parts])[:-1])
+        del parts, got
+        data = [_pack(t=t[w], **({"i": w.astype(np.uint32), "c": c[w]} if first else {})) for w in own]
+        return pa.table({"bucket": pa.array([k] * (len(own) + 1), pa.int32()), "data": pa.array([*data, None], pa.binary()), "rest": pa.array([*[None] * len(own), rest.tolist()], pa.list_(pa.float64())), "shard": pa.array([*shards, -1], pa.int32())})
+
+    told = states.select("shard", F.posexplode("told").alias("bucket", "data")).where("data IS NOT NULL")
+    told.groupBy("bucket").applyInArrow(add, _REPLY).repartition("shard").write.partitionBy("shard").parquet(path)
+    rest = [r["rest"] for r in states.sparkSession.read.schema(_REPLY).parquet(path).where("shard = -1").orderBy("bucket").collect()]
+    return np.sum(rest, 0) if rest else None
+
+
+def _written(path: str, k: int, key: str, data: str) -> list[tuple[int, bytes]]:
+    """What was written for a shard, by key."""
+    files, at = pafs.FileSystem.from_uri(f"{path}/shard={k}")
+    if files.get_file_info(at).type == pafs.FileType.NotFound:
+        return []
+    rows = pq.read_table(at, filesystem=files, columns=[key, data], partitioning=None).sort_by(key)
+    return list(zip(rows[key].to_pylist(), rows[data].to_pylist()))
+
+
+def _heard(path: str, shard: Shard, k: int) -> Shard:
+    """The shard with the totals that were written for it."""
+    shard.hear([_unpack(x) for _, x in _written(path, k, "bucket", "data")])
+    return shard
 
 
 def _summed(states: DataFrame) -> np.ndarray:
@@ -605,9 +767,9 @@ def score_texts(
     One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram), score (log10 probability),
     perplexity (10 ^ (-score / n_tokens)). Tokens: words after lower-casing A-Z, then the end. Null texts: empty (one token, the
     end); a null id hashes as the empty text; repeated rows are learned and scored each; with no training rows every token is
-    unknown; an empty table gives no rows; other columns are not read. share: words of at least that share of the training tokens
-    have a context restaurant (in a word's count, chunks in which its share is under a tenth of that are left out); contexts: if given, only so many of
-    them, the most frequent. shards: a
+    unknown; an empty table gives no rows; other columns are not read. share: the totals of words of at least that share of the training
+    tokens as contexts are sent to all tasks (in a word's count, chunks in which its share is under a tenth of that are left out);
+    contexts: if given, only so many of them, the most frequent; the others' are added up by buckets, to the same model. shards: a
     shard is held in one task's memory; the default is the session's number of shuffle partitions, or more, so that a shard has
     SHARD_TOKENS tokens or so.
     """
@@ -619,6 +781,7 @@ def score_texts(
     chunks = stored(made, "chunks", folder)
     tokens, trained = (x or 0 for x in chunks.agg(F.sum("tokens"), F.sum("trained")).first())
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARD_TOKENS))
+    buckets, sampled = -(-shards // 2), []
 
     # The inventory: words of `share` of the tokens or more, so 1 / share of them at most.
     top = chunks.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).groupBy(F.col("x.top").alias("word")).agg(F.sum("x.top_n").alias("n"))
@@ -627,14 +790,22 @@ def score_texts(
     inventory = {w: i for i, w in enumerate(chosen)}
     parents = [_class_of(w) for w in chosen]
 
-    asked = stored(chunks.select("chunk", "texts").mapInArrow(_requests(inventory, shards), "shard int, chunk bigint, asked binary"), "asked", folder)
-
-    def merge(key, rows):
-        order = sorted(zip(rows["chunk"].to_pylist(), rows["asked"]), key=lambda x: x[0])
-        shard = Shard.merged([_unpack(a.as_py()) for _, a in order], np.array(parents, np.int64))
-        return pa.Table.from_batches([_state_row(key[0].as_py(), shard, shard.first_sums(len(parents)))])
+    asked, up = f"{folder}/asked", np.array(parents, np.int64)
+    made = chunks.select("chunk", "texts").mapInArrow(_requests(inventory, shards), "shard int, chunk bigint, asked binary")
+    made.repartition("shard").write.partitionBy("shard").parquet(asked)
 
-    states = stored(asked.groupBy("shard").applyInArrow(merge, _STATE), "state0", folder)
+    def merge(batches):
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                if told := [_unpack(x) for _, x in _written(asked, k, "chunk", "asked")]:
+                    shard = Shard.merged(told, up)
+                    sums = shard.first_sums(len(parents))
+                    row = _state_row(k, shard, sums, shard.told(buckets, rest_contexts(told)[0]))
+                    del shard, told
+                    _give_back()
+                    yield row
+
+    states = stored(spark.range(0, shards, 1, shards).select(F.col("id").cast("int")).mapInArrow(merge, _STATE), "state0", folder)
     sums = _summed(states)
     backs: list[list[np.ndarray]] = [[], [], []]
 
@@ -643,13 +814,15 @@ def score_texts(
     ones = (sums[head : head + 6] if len(sums) else np.zeros(6)).reshape(3, 2)
     discount, strength = [float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a + b else 0.5 for a, b in ones], [1.0, 1.0, 1.0]
 
+    rest = _replied(states, f"{folder}/reply0", discount[2], strength[2], [seed, 0])
+
     def totals_of(sums: np.ndarray, n: int) -> Totals:
         nonlocal discount, strength
         t = Totals(parents, sums if len(sums) else np.zeros(head + 6, np.int64))
         t.discount, t.strength = discount, strength
         if len(sums) > head + 6:  # a sweep was made
             tables = sums[head + 6 :].reshape(3, EXACT)
-            t.redraw(tables[:, :-1], tables[:, -1] / 1e6, np.random.default_rng([seed, n]))
+            t.redraw(tables[:, :-1], tables[:, -1] / 1e6, np.random.default_rng([seed, n]), rest)
             discount, strength = t.discount, t.strength
         return t
 
@@ -659,42 +832,52 @@ def score_texts(
         def sweep(batches, totals=totals, sample=sample, n=n):
             for b in batches:
                 for k, data in zip(b.column(0).to_pylist(), b.column(1)):
-                    shard = Shard(_unpack(data.as_py()))
+                    shard = _heard(f"{folder}/reply{n}", Shard.loaded(data.as_py(), up), k)
                     if sample:
                         shard.keep_sample(totals)
                     new = shard.sweep(totals, np.random.default_rng([seed, n, k]))
-                    yield _state_row(k, shard, new)
+                    row = _state_row(k, shard, new, shard.told(buckets))
+                    del shard
+                    _give_back()
+                    yield row
 
         if sample:
+            sampled.append(totals)
             for level in range(3):
                 backs[level].append(totals.back(level))
         states = stored(states.select("shard", "state").mapInArrow(sweep, _STATE), f"state{n + 1}", folder)
+        rest = _replied(states, f"{folder}/reply{n + 1}", discount[2], strength[2], [seed, n + 1])
         drop_folder(spark, f"{folder}/state{n}")
+        drop_folder(spark, f"{folder}/reply{n}")
         sums = _summed(states)
 
-    last = totals_of(sums, burn + samples)
+    last, heard = totals_of(sums, burn + samples), f"{folder}/reply{burn + samples - 1}"
     for level in range(3):
         backs[level].append(last.back(level))
     stacked = [np.array(b) for b in backs]
-    up = np.array(parents, np.int64)
-
-    def answer(key, left, right):
-        shard = Shard(_unpack(left["state"][0].as_py()))
-        shard.keep_sample(last)
-        said = []
-        for a in right["asked"]:
-            c, p = shard.answer(_unpack(a.as_py()), up, stacked, last.v)
-            said.append(_pack(c=c.astype(np.int64), p=p.astype(np.float32)))
-        return pa.table({"chunk": right["chunk"].cast(pa.int64()), "shard": right["shard"].cast(pa.int32()), "answer": pa.array(said, pa.binary())})
-
-    answers = states.select("shard", "state").groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "chunk bigint, shard int, answer binary")
+
+    def answer(batches):
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1)):
+                shard = _heard(heard, Shard.loaded(data.as_py(), up), k)
+                shard.sampled = list(sampled)
+                shard.keep_sample(last)
+                every = _written(asked, k, "chunk", "asked")
+                x, _ = rest_contexts([_unpack(a) for _, a in every])
+                for chunk, a in every:
+                    c, p = shard.answer(_unpack(a), up, stacked, last.v, x)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([k], pa.int32()), pa.array([_pack(c=c.astype(np.int64), p=p.astype(np.float32))], pa.binary())], ["chunk", "shard", "answer"])
+                del shard, every
+                _give_back()
+
+    answers = states.select("shard", "state").mapInArrow(answer, "chunk bigint, shard int, answer binary")
     n_train, v = last.n, last.v
 
     def score(key, left, right):
         ids, texts = left["ids"][0], _unpack(left["texts"][0].as_py())
         got = [_unpack(a.as_py()) for _, a in sorted(zip(right["shard"].to_pylist(), right["answer"]), key=lambda x: x[0])]
         counts, p = np.concatenate([g["c"] for g in got]), np.concatenate([g["p"] for g in got])
-        _, _, _, place, _, _, _, where = _pairs(texts, inventory, shards)
+        _, _, _, place, _, _, _, where = _pairs(texts, inventory, shards, True)
         flat, lens = texts["flat"], texts["lens"]
         c = counts[place[flat]]
         starts = np.cumsum(lens) - lens
