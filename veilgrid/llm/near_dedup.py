@@ -1,9 +1,12 @@
-"""Near-duplicates by shingle similarity: a prefix filter gives the candidates, the exact Jaccard similarity decides.
+"""Near-duplicates by SimHash anchors, and by a prefix filter what SimHash can't see; the exact Jaccard similarity decides.
 
-Nothing is lost: sets x and y of similarity `least` share at least least * |x| shingles, so in any one order of all shingles the
+First rows whose fingerprints (of the same shingles) differ in few bits are linked through the anchors of a covering code, as in
+simhash_anchors.py. Fingerprints of texts of similarity 0.8 lie within about 20 of 64 bits, for which blocks are 3 bits wide (nearly
+all pairs meet, and some are still missed), so the radius stays small and the pairs beyond it come by a prefix filter.
+
+That loses nothing: sets x and y of similarity `least` share at least least * |x| shingles, so in any one order of all shingles the
 first |x| - ceil(least * |x|) + 1 of x and the same of y have one in common. Rows meet by those shingles; where two meet first,
-their sizes and positions bound what they can share. (A SimHash radius for 0.8 is about 20 of 64 bits, for which blocks are 3
-bits wide: nearly all pairs meet, and some are still missed.) Shingles that recur in a sample of the rows come last in the
+their sizes and positions bound what they can share. Shingles that recur in a sample of the rows come last in the
 order, so that the common ones rarely bring rows together; the sample and the map of them decide on speed only.
 
 Where rows meet, each is first paired with the first and the next by size, which joins copies by a link each. Of the rest, only
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.llm.common import drop_folder, fresh, shared_folder, stored
 from veilgrid.llm.components import components
-from veilgrid.llm.simhash_anchors import shingle_hashes
+from veilgrid.llm.simhash_anchors import column_prints, fingerprint_links, shingle_hashes
 
 #: Runs of up to so many rows are paired by shifts, all runs at once; longer ones a row at a time.
 SHORT = 64
@@ -237,9 +240,26 @@ def _verified(least: float):
     return run
 
 
-def similar_links(rows: DataFrame, width: int, least: float, folder: str) -> DataFrame:
+def anchor_pairs(rows: DataFrame, width: int, radius: int, blocks: int, folder: str) -> DataFrame:
+    """rows (rid, t) -> pairs u < v that connect all rows whose fingerprints differ in `radius` or fewer bits; most of them do so themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(column_prints(b.column(1), width))], ["rid", "fp"])
+
+    prints = stored(rows.select("rid", "t").mapInArrow(run, "rid bigint, fp bigint"), "prints", folder)
+    first = stored(prints.groupBy("fp").agg(F.min("rid").alias("first")), "fingerprints", folder)
+    copies = prints.join(first, "fp").where("rid <> first").select(F.col("first").alias("u"), F.col("rid").alias("v"))
+    near = fingerprint_links(first, radius, blocks).where("u <> v").distinct()
+    for end in ("u", "v"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(end + "r")), end)
+    return copies.union(near.select(F.least("ur", "vr").alias("u"), F.greatest("ur", "vr").alias("v")).distinct())
+
+
+def similar_links(rows: DataFrame, width: int, least: float, folder: str, radius: int = 4, blocks: int = 3) -> DataFrame:
     """rows (rid: bigint, t: string; read several times) -> links (u, v) that connect all rows of that similarity."""
     spark = rows.sparkSession
+    anchored = stored(anchor_pairs(rows, width, radius, blocks, folder), "anchored", folder)
     sample = rows.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select("t").mapInArrow(_sampled(width), "shingle bigint")
     counts = stored(sample.groupBy("shingle").count().where("count > 1"), "counts", folder)
     # The counts from a power of two on: so many that the map has four bits a shingle at least.
@@ -255,9 +275,9 @@ def similar_links(rows: DataFrame, width: int, least: float, folder: str) -> Dat
     met = rows.select("rid", "t").mapInArrow(_prefixes(sent, width, least), _ROWS)
     met = met.repartition("shingle").sortWithinPartitions("shingle", "n", "rid").mapInArrow(_meet(least), f"u bigint, v bigint, {_ROWS}")
     met = stored(met, "met", folder)
-    first = stored(met.where("u IS NOT NULL").select("u", "v").distinct(), "first", folder)
+    first = stored(met.where("u IS NOT NULL").select("u", "v").distinct().join(anchored, ["u", "v"], "left_anti"), "first", folder)
     shared = met.where("u IS NULL").drop("u", "v")
-    ends = first.select(F.explode(F.array("u", "v")).alias("rid")).union(shared.select("rid")).distinct()
+    ends = first.union(anchored).select(F.explode(F.array("u", "v")).alias("rid")).union(shared.select("rid")).distinct()
     sets = stored(rows.join(ends, "rid", "left_semi").select("rid", "t").mapInArrow(_sets(width), "rid bigint, n int, s binary, h binary"), "sets", folder)
 
     def of(pairs: DataFrame, *columns: str) -> DataFrame:
@@ -270,12 +290,12 @@ def similar_links(rows: DataFrame, width: int, least: float, folder: str) -> Dat
         pairs = stored(of(pairs, "n", "h").mapInArrow(_possible(least), "u bigint, v bigint"), f"possible_{name}", folder)
         return stored(of(pairs, "s").mapInArrow(_verified(least), "u bigint, v bigint"), f"links_{name}", folder)
 
-    links = verify(first, "first")
+    links = verify(anchored, "anchored").union(verify(first, "first"))
     if not shared.isEmpty():
         roots = components(links).select(F.col("v").alias("rid"), F.col("m").alias("root"))
         shared = shared.join(roots, "rid", "left").select("shingle", "rid", "n", "pos", F.coalesce("root", "rid").alias("root"))
         shared = shared.repartition("shingle").sortWithinPartitions("shingle", "n", "rid")
-        rest = stored(shared.mapInArrow(_rest(least), "u bigint, v bigint").distinct().join(first, ["u", "v"], "left_anti"), "rest", folder)
+        rest = stored(shared.mapInArrow(_rest(least), "u bigint, v bigint").distinct().join(first.union(anchored), ["u", "v"], "left_anti"), "rest", folder)
         links = links.union(verify(rest, "rest"))
     drop_folder(spark, f"{folder}/met")
     drop_folder(spark, f"{folder}/sets")
