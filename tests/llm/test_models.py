@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -43,6 +44,44 @@ def test_every_word_is_a_context(spark):
     assert abs(none - all_) < 0.02 and none > -1.1  # half the tokens follow from the one before, the others are one in 60: -0.9 or so
 
 
+@pytest.mark.parametrize("split, cut", [(8_000_000, 2_000_000), (40, 25), (1, 1)])
+def test_chunks_hold_all_words(monkeypatch, split, cut):
+    """Against Python's own split, whatever the batches, slices of them and chunks; nulls, empty and blank texts."""
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(hpylm, "SPLIT_BYTES", split)
+    monkeypatch.setattr(hpylm, "CHUNK_TOKENS", cut)
+    texts = ["The cat\x0b\x0cSAT ", None, "", " \n\t ", "\u00c4\u00df \u2003x \x1cy\u00a0Z", "  a\r\nb", *(f"Word{i % 7} b{i} " * (i % 5) for i in range(60)), None]
+    table = hpylm.pa.table({"id": range(len(texts)), "t": texts}).slice(1)
+    found, cuts = [], []
+    for size in (7, 1000):
+        found.clear()
+        for c in hpylm._chunks(7, 2, 1e-4)(table.to_batches(max_chunksize=size)):
+            x = hpylm._unpack(c["texts"][0].as_py())
+            words = np.array([*hpylm._split(x["words"], int(x["n"][0])), None], object)[x["flat"]]
+            assert len(words) == c["tokens"][0].as_py() and x["train"].tolist() == [zlib.crc32(str(i).encode()) % 7 != 2 for i in c["ids"][0].as_py()]
+            found += [(i, w.tolist()) for i, w in zip(c["ids"][0].as_py(), np.split(words, np.cumsum(x["lens"])[:-1]))]
+            cuts.append(len(x["lens"]))
+        lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+        assert found == [(i, [*(texts[i] or "").encode().translate(lower).split(), b""]) for i in range(1, len(texts))]
+    assert (max(cuts) == 1) == (cut == 1)
+
+
+def test_little_is_kept(spark):
+    """Of a sweep the state keeps tables by pair, not each table's customers; requests and texts are stored once and not shuffled for scoring."""
+    rng = np.random.default_rng(5)
+    words = [b"w%d" % i for i in range(300)]
+    w, r = (np.sort(rng.choice(300 * hpylm.CLASSES, 4000, False)) // hpylm.CLASSES, None)
+    r = np.concatenate([np.sort(rng.choice(hpylm.CLASSES, n, False)) for n in np.bincount(w)[np.bincount(w) > 0]])
+    c = rng.integers(1, 9, 4000)
+    assert all((hpylm._unpack(hpylm._pack(w=w, r=r, c=c))[k] == x).all() for k, x in (("w", w), ("r", r), ("c", c)))
+    shard = hpylm.Shard.merged([{"words": hpylm._joined(words), "n": np.array([300]), "w": w, "r": r, "c": c}], np.zeros(0, np.int64))
+    before = len(shard.packed())
+    sums = shard.sweep(hpylm.Totals([], shard.first_sums(0)), np.random.default_rng(1))
+    assert int(sums[0]) > 0 and len(shard.packed()) < before + 4000  # a byte a pair at most
+    plan = hpylm.score_texts(spark.createDataFrame(TEXTS, "doc_id long, text string"), shards=2)._jdf.queryExecution().executedPlan().toString()
+    assert "answer" in plan and "texts" not in plan
+
+
 def test_the_rest_is_a_distribution():
     """Contexts that are not in the inventory, in two shards: probabilities of all words add up to one, totals to the shards' parts."""
     contexts, parents = {b"the": 0}, np.array([hpylm._class_of(b"the")])

@@ -29,18 +29,20 @@ order asked. Everything that passes between chunks and shards is one binary per
 from __future__ import annotations
 
 import ctypes
-import io
+import gc
+import json
 import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.llm.common import LOWER_BYTES, crc_mod_py, drop_folder, shared_folder, stored
@@ -57,7 +59,11 @@ CLASSES = 31
 _START = 0
 _LIBC = ctypes.CDLL(None)
 #: Arrays that rise, by name.
-_SORTED = {"w", "w1", "w2", "o0", "o1", "o2", "x", "i", "xi"}
+_SORTED = {"w", "w1", "w2", "x", "i", "xi"}
+#: Arrays that rise within the runs of another that is packed before them.
+_WITHIN = {"r": "w", "r1": "w1", "r2": "w2"}
+#: Bytes of text that are split at once.
+SPLIT_BYTES = 8_000_000
 
 
 def _class_of(word: bytes) -> int:
@@ -74,28 +80,44 @@ def _class_of(word: bytes) -> int:
 _CLASS = np.array([_class_of(bytes([b])) for b in range(256)], np.int8)
 
 
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])[: len(x)]
+
+
 def _pack(**arrays) -> bytes:
     """Arrays by name, compressed: bytes of equal weight lie together (small numbers' high bytes are alike), and sorted ones as steps."""
-    out = io.BytesIO()
-    flat = {}
+    head, body = [], []
     for name, x in arrays.items():
         x = np.ascontiguousarray(x)
         if name in _SORTED and x.size:
             x = np.diff(x, prepend=x.dtype.type(0))
-        flat[name] = x.view(np.uint8).reshape(x.size, x.itemsize).T if x.size else np.zeros((0, 0), np.uint8)
-        flat["type_" + name] = np.array([x.dtype.str, *map(str, x.shape)])
-    np.savez(out, **flat)
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
+        elif _WITHIN.get(name) in arrays and x.size:
+            first = _runs(arrays[_WITHIN[name]])
+            steps = np.diff(x, prepend=x.dtype.type(0))
+            steps[first] = x[first]
+            x = steps
+        head.append([name, x.dtype.str, x.shape])
+        body.append(x.view(np.uint8).reshape(x.size, x.itemsize).T.tobytes() if x.size else b"")
+    names = json.dumps(head).encode()
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([len(names).to_bytes(4, "little"), names, *body]))
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    at = 4 + int.from_bytes(data[:4], "little")
     out = {}
-    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))) as z:
-        for name in z.files:
-            if not name.startswith("type_"):
-                kind, *shape = z["type_" + name].tolist()
-                x = np.ascontiguousarray(z[name].T).view(np.dtype(kind)).reshape([int(n) for n in shape]) if z[name].size else np.zeros([int(n) for n in shape], np.dtype(kind))
-                out[name] = np.cumsum(x, dtype=x.dtype) if name in _SORTED else x
+    for name, kind, shape in json.loads(data[4:at]):
+        kind, size = np.dtype(kind), math.prod(shape)
+        x = np.frombuffer(data, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        at += x.size
+        x = np.ascontiguousarray(x.T).view(kind).reshape(shape) if size else np.zeros(shape, kind)
+        if name in _SORTED:
+            x = np.cumsum(x, dtype=kind)
+        elif _WITHIN.get(name) in out and size:
+            first, total = _runs(out[_WITHIN[name]]), np.cumsum(x, dtype=kind)
+            x = total - np.repeat(total[first] - x[first], np.diff(first, append=size))
+        out[name] = x
     return out
 
 
@@ -107,6 +129,18 @@ def _split(data: np.ndarray, n: int) -> list[bytes]:
     return data.tobytes().split(b"\n") if n else []
 
 
+def _binary(datas: list[np.ndarray], counts: list[int]) -> pa.Array:
+    """The words of several _joined(), one after another."""
+    ends, parts, n = [np.zeros(1, np.int64)], [], 0
+    for data, count in zip(datas, counts):
+        if count:
+            ends.append(n + np.r_[np.flatnonzero(data == 10), len(data)] - np.arange(count))
+            parts.append(data[data != 10])
+            n += len(parts[-1])
+    offsets, data = np.concatenate(ends), np.concatenate([*parts, np.zeros(0, np.uint8)])
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -125,6 +159,12 @@ def _give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of what was written: Spark deletes them once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # Chunks
 
 
@@ -135,20 +175,24 @@ def _chunks(folds: int, held: int, share: float):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        number, ids, lens, names, out = {b"": 0}, [], [], [], []
+        kind, ids, lens, parts, have = pa.int64(), [], [], [], 0
 
         def close():
-            nonlocal seq, number, ids, lens, names, out
-            flat = np.array(out, np.int32)
+            nonlocal seq, ids, lens, parts, have
+            coded, sizes = pa.concat_arrays(parts).dictionary_encode(), np.concatenate(lens)
+            words = [b"", *coded.dictionary.cast(pa.large_binary()).to_pylist()]
+            flat = np.zeros(have, np.int32)
+            within = np.ones(have, bool)
+            within[np.cumsum(sizes) - 1] = False
+            flat[within] = coded.indices.to_numpy() + 1
             train = np.array([crc_mod_py(i, folds) != held for i in ids], bool)
-            counts = np.bincount(flat[np.repeat(train, lens)], minlength=len(number))
+            counts = np.bincount(flat[np.repeat(train, sizes)], minlength=len(words))
             top = np.flatnonzero(counts >= max(1, share / 10 * counts.sum()))
-            words = list(number)
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part * (1 << 20) + seq], pa.int64()),
                     pa.array([ids], pa.list_(kind)),
-                    pa.array([_pack(words=_joined(words), n=np.array([len(words)]), flat=flat, lens=np.array(lens, np.int64), train=train)], pa.binary()),
+                    pa.array([_pack(words=_joined(words), n=np.array([len(words)]), flat=flat, lens=sizes, train=train)], pa.binary()),
                     pa.array([len(flat)], pa.int64()),
                     pa.array([int(counts.sum())], pa.int64()),
                     pa.array([[words[i] for i in top.tolist()]], pa.list_(pa.binary())),
@@ -157,38 +201,54 @@ def _chunks(folds: int, held: int, share: float):
                 ["chunk", "ids", "texts", "tokens", "trained", "top", "top_n"],
             )
             seq += 1
-            number, ids, lens, names, out = {b"": 0}, [], [], [], []
+            ids, lens, parts, have = [], [], [], 0
             return row
 
-        kind = pa.int64()
         for b in batches:
             kind = b.schema.field(0).type
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                words = (text.as_py() or "").encode().translate(LOWER_BYTES).split()
-                put = number.setdefault
-                out += [put(w, len(number)) for w in words]
-                out.append(0)
-                ids.append(i)
-                lens.append(len(words) + 1)
-                if len(out) >= CHUNK_TOKENS:
-                    yield close()
+            keys, texts = b.column(0).to_pylist(), b.column(1).fill_null("")
+            _, cuts, data = texts.buffers()
+            cuts = np.frombuffer(cuts, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + SPLIT_BYTES, "right")) - 1)
+                # Lowered here: ascii_lower() loses text where the buffers' first offset isn't 0.
+                low = bytes(memoryview(data or b"")[cuts[at] : cuts[to]]).translate(LOWER_BYTES)
+                split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), to - at, [None, pa.py_buffer(cuts[at : to + 1] - cuts[at]), pa.py_buffer(low)]))
+                words = split.flatten()
+                some = pc.binary_length(words).to_numpy() > 0  # blanks at an end of a text leave an empty word there
+                words = words.filter(pa.array(some))
+                until = np.r_[0, np.cumsum(some)][np.cumsum(pc.list_value_length(split).to_numpy())]  # the words up to each text's end
+                first, ends = 0, until + np.arange(1, len(until) + 1)  # and its tokens
+                while first < len(ends):
+                    done = int(ends[first - 1]) if first else 0
+                    last = min(len(ends), first + int(np.searchsorted(ends[first:] - done, CHUNK_TOKENS - have)) + 1)
+                    parts.append(words[done - first : int(until[last - 1])])
+                    lens.append(np.diff(ends[first:last], prepend=done).astype(np.int64))
+                    ids += keys[at + first : at + last]
+                    have += int(ends[last - 1]) - done
+                    first = last
+                    if have >= CHUNK_TOKENS:
+                        yield close()
+                at = to
         if ids:
             yield close()
 
     return run
 
 
-def _pairs(texts: dict[str, np.ndarray], contexts: dict[bytes, int], shards: int, rest: bool = False):
+def _pairs(texts: dict[str, np.ndarray], contexts: dict[bytes, int], shards: int, rest: bool = False, hashes: np.ndarray | None = None):
     """What a chunk asks: words in shard order, and its distinct (word, restaurant) pairs in the order of those words.
 
-    Words that are not in contexts have restaurants by their number in the chunk, behind those, if rest is set, and else none.
+    Words that are not in contexts have restaurants by the order of their hashes in the chunk, behind those, if rest is set, and else none.
     """
     n, flat, lens = int(texts["n"][0]), texts["flat"], texts["lens"]
     words, kinds = _split(texts["words"], n), _classes(texts["words"], n)
     room = CLASSES + len(contexts) + n * rest
     known = np.array([contexts.get(w, -1) for w in words], np.int64)
-    seat = np.where(known >= 0, CLASSES + known, CLASSES + len(contexts) + np.arange(n) if rest else kinds)
-    shard = (_hashes(words) % np.uint64(shards)).astype(np.int64)
+    hashes = _hashes(words) if hashes is None else hashes
+    seat = np.where(known >= 0, CLASSES + known, CLASSES + len(contexts) + np.unique(hashes, return_inverse=True)[1] if rest else kinds)
+    shard = (hashes % np.uint64(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
@@ -205,8 +265,10 @@ def _requests(contexts: dict[bytes, int], shards: int):
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1)):
                 texts = _unpack(data.as_py())
-                words, shard, order, _, w, r, train, _ = _pairs(texts, contexts, shards, True)
-                hashes, kinds = _hashes(words), _classes(texts["words"], len(words))
+                hashes = _hashes(_split(texts["words"], int(texts["n"][0])))
+                words, shard, order, _, w, r, train, _ = _pairs(texts, contexts, shards, True, hashes)
+                hashes, which = np.unique(hashes, return_index=True)
+                kinds = _classes(texts["words"], len(words))[which]
                 first = CLASSES + len(contexts)
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
                 pair_cut = np.searchsorted(w, cut)
@@ -217,8 +279,8 @@ def _requests(contexts: dict[bytes, int], shards: int):
                         p, q = int(pair_cut[k]), int(pair_cut[k + 1])
                         own = [words[i] for i in order[a:z].tolist()]
                         at, deep = r[p:q].astype(np.int32), np.flatnonzero(r[p:q] >= first)
-                        x, which, where = np.unique(hashes[at[deep] - first], return_index=True, return_inverse=True)
-                        xk = kinds[at[deep[which]] - first]
+                        x, where = np.unique(at[deep] - first, return_inverse=True)
+                        x, xk = hashes[x], kinds[x]
                         at[deep] = first + where
                         rows.append((k, chunk, _pack(words=_joined(own), n=np.array([len(own)]), w=(w[p:q] - a).astype(np.int32), r=at, c=train[p:q].astype(np.int32), x=x, xk=xk)))
                 cols = list(zip(*rows))
@@ -264,10 +326,17 @@ def _stirling_large(d: float) -> tuple[np.ndarray, np.ndarray]:
     t = np.arange(1, FEW + 1)
     x = np.zeros(FEW)
     x[:SMALL] = np.exp(_stirling(d)[0][SMALL, 1:] - _stirling(d)[0][SMALL, 1:].max())
-    move = lambda x: np.r_[0.0, x[:-1]] - d * t * x
+    rate, work = d * t, np.empty(FEW)
+
+    def move(x, out=None):
+        out = np.multiply(rate, x, out)
+        np.subtract(x[:-1], out[1:], out[1:])
+        out[0] = -out[0]
+        return out
+
     grid, rows, n = [SMALL], [x], SMALL
     while n < 8192:
-        x = x + move(x) / n
+        x = x + np.divide(move(x, work), n, work)
         n += 1
         if n >= 1.02 * grid[-1] or n == 8192:
             x = x / x.max()
@@ -386,6 +455,12 @@ class Seats:
 
     def gibbs(self, new_weight: np.ndarray, rng) -> None:
         """Seat each pair's customers anew as a whole, given the weight of a new table."""
+        self.anew(new_weight, rng)
+        order = np.argsort(self.own, kind="stable")
+        self.own, self.sizes = self.own[order], self.sizes[order]
+
+    def anew(self, new_weight: np.ndarray, rng) -> None:
+        """gibbs(), but the tables stay out of order."""
         sizes, own = [], []
         alone = np.flatnonzero(self.c == 1)  # a lone customer has a lone table
         sizes.append(np.ones(len(alone), np.int64))
@@ -431,9 +506,7 @@ class Seats:
                     x = x + rng.multinomial(min(n - have, have), free / free.sum())
                 sizes.append(x)
                 own.append(np.full(m, p))
-        own, sizes = np.concatenate(own), np.concatenate(sizes)
-        order = np.argsort(own, kind="stable")
-        self.own, self.sizes = own[order], sizes[order]
+        self.own, self.sizes = np.concatenate(own), np.concatenate(sizes)
 
 
 class Totals:
@@ -492,11 +565,12 @@ class Shard:
     """All words of one shard with their pairs at the three levels.
 
     Contexts that are not in the inventory follow it, in the order of their hashes: xk has their classes, xc and xt their customers
-    and tables in all shards, xi their numbers in their buckets (which end at xcut), xs the xt of the samples.
+    and tables in all shards, xi their numbers in their buckets (which end at xcut), xs the xt of the samples. Of a sweep's seating
+    the state keeps how many tables each pair has (t0, t1, t2), all that the next sweep and a sample need.
     """
 
     def __init__(self, state: dict[str, np.ndarray]):
-        self.s, self.sampled = state, []
+        self.s, self.sampled, self.seated = state, [], None
 
     @staticmethod
     def loaded(data: bytes, parents: np.ndarray) -> "Shard":
@@ -510,26 +584,25 @@ class Shard:
 
     @staticmethod
     def merged(asked: list[dict[str, np.ndarray]], parents: np.ndarray) -> "Shard":
-        every: dict[bytes, int] = {}
         w, r, c = [], [], []
         first = CLASSES + len(parents)
         x, which = rest_contexts(asked)
         xk = np.concatenate([a["xk"] for a in asked if "x" in a] or [np.zeros(0, np.int8)])[which]
-        for a in asked:
-            put = every.setdefault
-            local = np.array([put(x, len(every)) for x in _split(a["words"], int(a["n"][0]))], np.int64)
+        sizes = [int(a["n"][0]) for a in asked]
+        coded = _binary([a["words"] for a in asked], sizes).dictionary_encode()
+        for a, local in zip(asked, np.split(coded.indices.to_numpy(), np.cumsum(sizes)[:-1])):
             some = a["c"] > 0
-            w.append(local[a["w"][some]])
+            w.append(local[a["w"][some]].astype(np.int64))
             r.append(_renumbered(a, x, first)[some])
             c.append(a["c"][some].astype(np.int64))
         w, r, c = np.concatenate(w), np.concatenate(r), np.concatenate(c)
-        seen = np.unique(w)  # held-out words alone aren't kept: they are unknown
-        names = list(every)
-        names = [names[i] for i in seen.tolist()]
-        order = sorted(range(len(names)), key=names.__getitem__)
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        w = rank[np.searchsorted(seen, w)]
+        seen = np.flatnonzero(np.bincount(w, minlength=len(coded.dictionary)))  # held-out words alone aren't kept: they are unknown
+        names = coded.dictionary.take(pa.array(seen))
+        order = pc.array_sort_indices(names)
+        names = names.take(order).to_pylist()
+        rank = np.zeros(len(coded.dictionary), np.int64)
+        rank[seen[order.to_numpy()]] = np.arange(len(names))
+        w = rank[w]
         parents = np.concatenate([parents, xk]).astype(np.int64)
         room = CLASSES + len(parents)
         key, where = np.unique(w * room + r, return_inverse=True)
@@ -543,7 +616,7 @@ class Shard:
         direct[np.searchsorted(key1, w[~deep] * CLASSES + r[~deep])] = count[~deep]
         return Shard(
             {
-                "words": _joined([names[i] for i in order]), "n": np.array([len(names)]),
+                "words": _joined(names), "n": np.array([len(names)]),
                 "count": np.bincount(w, weights=count, minlength=len(names)).astype(np.int64),
                 "w2": w2, "r2": r2, "c2": c2, "up2": np.searchsorted(key1, up),
                 "w1": key1 // CLASSES, "r1": key1 % CLASSES, "direct": direct,
@@ -583,11 +656,9 @@ class Shard:
                 self.s["xi"], self.s["xc"] = (np.concatenate([x[k] for x in replies]) for k in ("i", "c"))
 
     def seats(self, totals: Totals) -> list[Seats]:
-        s, d = self.s, totals.discount
-        if "z0" not in s:
-            none = np.zeros(0, np.int64)
-            return [Seats(np.zeros(n, np.int64), none, none, d[k]) for k, n in enumerate((int(s["n"][0]), len(s["w1"]), len(s["w2"])))]
-        return [Seats(np.bincount(s[f"o{k}"], weights=s[f"z{k}"], minlength=n).astype(np.int64), s[f"z{k}"], s[f"o{k}"], d[k]) for k, n in enumerate((int(s["n"][0]), len(s["w1"]), len(s["w2"])))]
+        """The seating of the sweep that was made here, if any."""
+        none = np.zeros(0, np.int64)
+        return self.seated or [Seats(np.zeros(len(self.s[k]), np.int64), none, none, d) for k, d in zip(("count", "w1", "w2"), totals.discount)]
 
     def probabilities(self, tables: list[np.ndarray], xt: np.ndarray, totals: Totals) -> list[np.ndarray]:
         """Of words at the root, and of the pairs at the other two levels, given their tables, those of the contexts beyond the inventory, and the totals."""
@@ -603,9 +674,10 @@ class Shard:
     def sweep(self, totals: Totals, rng) -> np.ndarray:
         """One sweep; returns the shard's part of the new totals."""
         s, d = self.s, totals.discount
+        self.seated = None
         seats = self.seats(totals)
-        if "z0" in s:
-            p0, p1, _ = self.probabilities([x.tables() for x in seats], s["xt"], totals)
+        if "t0" in s:
+            p0, p1, _ = self.probabilities([s[f"t{k}"] for k in range(3)], s["xt"], totals)
         else:
             p0 = (s["count"] + 1) / (totals.n + totals.v + 1)
             p1 = p0[s["w1"]]
@@ -613,14 +685,18 @@ class Shard:
         q2, q1 = weight(2, np.concatenate([totals.t[totals.row(2)], s["xt"]])[s["r2"]], p1[s["up2"]]), weight(1, totals.t[totals.row(1)][s["r1"]], p0[s["w1"]])
         q0 = np.full(len(p0), (totals.strength[0] + d[0] * totals.t[0]) / (totals.v + 1))
         seats[2].c = s["c2"].astype(np.int64)
-        seats[2].gibbs(q2, rng)
-        seats[1].c = s["direct"] + np.bincount(s["up2"], weights=seats[2].tables(), minlength=len(s["w1"])).astype(np.int64)
-        seats[1].gibbs(q1, rng)
-        seats[0].c = np.bincount(s["w1"], weights=seats[1].tables(), minlength=len(p0)).astype(np.int64)
-        seats[0].gibbs(q0, rng)
-        for k in range(3):
-            s[f"z{k}"], s[f"o{k}"] = seats[k].sizes.astype(np.int32), seats[k].own.astype(np.int32)
-        flat = [x for k in range(3) for x in (seats[k].c, seats[k].tables())]
+        seats[2].anew(q2, rng)
+        t2 = seats[2].tables()
+        seats[1].c = s["direct"] + np.bincount(s["up2"], weights=t2, minlength=len(s["w1"])).astype(np.int64)
+        seats[1].anew(q1, rng)
+        t1 = seats[1].tables()
+        seats[0].c = np.bincount(s["w1"], weights=t1, minlength=len(p0)).astype(np.int64)
+        seats[0].anew(q0, rng)
+        t0 = seats[0].tables()
+        self.seated, flat = seats, []
+        for k, t in enumerate((t0, t1, t2)):
+            s[f"t{k}"] = t.astype(np.int32)
+            flat += [seats[k].c, t]
         # For Totals.redraw: tables by size, and the logarithms of the larger ones' in millionths.
         tables = []
         for k in range(3):
@@ -633,13 +709,12 @@ class Shard:
     def keep_sample(self, totals: Totals) -> None:
         """Of a sample the shard keeps the tables (small numbers), from which and the totals the probabilities follow."""
         self.sampled.append(totals)
-        for name, x in [*((f"t{k}s", x.tables().astype(np.int32)) for k, x in enumerate(self.seats(totals))), ("xs", self.s["xt"])]:
+        for name, x in [*((f"t{k}s", self.s[f"t{k}"]) for k in range(3)), ("xs", self.s["xt"])]:
             self.s[name] = np.concatenate([self.s[name], x[None]]) if name in self.s else x[None]
 
     def _finish(self, parents: np.ndarray, back: np.ndarray) -> None:
         """Means and samples that answers are taken from."""
         s = self.s
-        self._rank = {x: i for i, x in enumerate(_split(s["words"], int(s["n"][0])))}
         self._parents, self._back = np.concatenate([parents, s["xk"]]).astype(np.int64), back
         if len(s["xk"]):
             self._back = np.concatenate([back, np.array([(t.strength[2] + t.discount[2] * x) / (t.strength[2] + s["xc"]) for t, x in zip(self.sampled, s["xs"])])], 1)
@@ -652,30 +727,39 @@ class Shard:
             self._p2 += p[2] / len(self.sampled)
         self._p0, self._p1 = np.array(p0), np.array(p1)
 
+    def places(self, asked: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
+        """Of the words of each request, their numbers here, -1 where they are unknown."""
+        sizes = [int(a["n"][0]) for a in asked]
+        found = pc.index_in(_binary([a["words"] for a in asked], sizes), value_set=_binary([self.s["words"]], [int(self.s["n"][0])]))
+        return np.split(found.fill_null(-1).to_numpy().astype(np.int64), np.cumsum(sizes)[:-1])
+
     def answer(self, asked: dict[str, np.ndarray], parents: np.ndarray, backs: list[np.ndarray], v: int, x: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Training counts of the words asked about, and mean probabilities of the pairs; backs: by level, (samples, restaurants).
 
-        x: the hashes of contexts beyond parents.
+        x: the hashes of contexts beyond parents. asked may have its places(), as "at".
         """
         s = self.s
-        if not hasattr(self, "_rank"):
+        if not hasattr(self, "_keys"):
             self._finish(parents, backs[2])
         asked = asked | {"r": _renumbered(asked, x, CLASSES + len(parents))}
         parents, backs, (key1, key2) = self._parents, [*backs[:2], self._back], self._keys
-        local = np.array([self._rank.get(x, -1) for x in _split(asked["words"], int(asked["n"][0]))], np.int64)
+        local = asked["at"] if "at" in asked else self.places([asked])[0]
         w, r = local[asked["w"]], asked["r"].astype(np.int64)
+        out, deep = np.empty(len(w)), r >= CLASSES
+        d = np.flatnonzero(deep)
+        d = d[np.argsort(w[d], kind="stable")]  # rising keys are found faster
+        i, hit = _find(key2, np.where(w[d] >= 0, w[d] * max(1, len(parents)) + r[d] - CLASSES, -1))
+        out[d[hit]] = self._p2[i[hit]]
+        left = np.r_[np.flatnonzero(~deep), d[~hit]]  # those that the levels above answer
+        w, r, deep = w[left], r[left], deep[left]
         root = np.where(w >= 0, self._p0[:, w], backs[0] / (v + 1)) if len(s["count"]) else np.repeat(backs[0] / (v + 1), len(w), 1)
-        deep = r >= CLASSES
         kind = np.where(deep, parents[np.where(deep, r - CLASSES, 0)] if len(parents) else 0, r)
         i, hit = _find(key1, np.where(w >= 0, w * CLASSES + kind, -1))
         p = backs[1][:, kind] * root
         p[:, hit] = self._p1[:, i[hit]] if len(key1) else 0
-        out = p.mean(0)
-        d = np.flatnonzero(deep)
-        if len(d):
-            out[d] = (backs[2][:, r[d] - CLASSES] * p[:, d]).mean(0)
-            i, hit = _find(key2, np.where(w[d] >= 0, w[d] * max(1, len(parents)) + r[d] - CLASSES, -1))
-            out[d[hit]] = self._p2[i[hit]]
+        if deep.any():
+            p[:, deep] = backs[2][:, r[deep] - CLASSES] * p[:, deep]
+        out[left] = p.mean(0)
         return np.where(local >= 0, s["count"][np.maximum(local, 0)], 0) if len(s["count"]) else np.zeros(len(local), np.int64), out
 
 
@@ -734,9 +818,9 @@ def _replied(states: DataFrame, path: str, discount: float, strength: float, see
     return np.sum(rest, 0) if rest else None
 
 
-def _written(path: str, k: int, key: str, data: str) -> list[tuple[int, bytes]]:
+def _written(path: str, k: int, key: str, data: str, of: str = "shard") -> list[tuple[int, bytes]]:
     """What was written for a shard, by key."""
-    files, at = pafs.FileSystem.from_uri(f"{path}/shard={k}")
+    files, at = pafs.FileSystem.from_uri(f"{path}/{of}={k}")
     if files.get_file_info(at).type == pafs.FileType.NotFound:
         return []
     rows = pq.read_table(at, filesystem=files, columns=[key, data], partitioning=None).sort_by(key)
@@ -778,7 +862,9 @@ def score_texts(
     kind = dict(docs.dtypes)[id_col]
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     made = src.mapInArrow(_chunks(folds, held, share), f"chunk bigint, ids array<{kind}>, texts binary, tokens bigint, trained bigint, top array<binary>, top_n array<bigint>")
-    chunks = stored(made, "chunks", folder)
+    kept = f"{folder}/chunks"
+    made.write.partitionBy("chunk").parquet(kept)
+    chunks = spark.read.schema(made.schema).parquet(kept)
     tokens, trained = (x or 0 for x in chunks.agg(F.sum("tokens"), F.sum("trained")).first())
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // SHARD_TOKENS))
     buckets, sampled = -(-shards // 2), []
@@ -807,6 +893,7 @@ def score_texts(
 
     states = stored(spark.range(0, shards, 1, shards).select(F.col("id").cast("int")).mapInArrow(merge, _STATE), "state0", folder)
     sums = _summed(states)
+    _let_go(spark)  # not before: the last job's plan is still held
     backs: list[list[np.ndarray]] = [[], [], []]
 
     # Discounts by level at first, as in Kneser-Ney smoothing: n1 / (n1 + 2 n2), of pairs with one and two customers.
@@ -855,6 +942,7 @@ def score_texts(
     for level in range(3):
         backs[level].append(last.back(level))
     stacked = [np.array(b) for b in backs]
+    _let_go(spark)
 
     def answer(batches):
         for b in batches:
@@ -862,10 +950,10 @@ def score_texts(
                 shard = _heard(heard, Shard.loaded(data.as_py(), up), k)
                 shard.sampled = list(sampled)
                 shard.keep_sample(last)
-                every = _written(asked, k, "chunk", "asked")
-                x, _ = rest_contexts([_unpack(a) for _, a in every])
-                for chunk, a in every:
-                    c, p = shard.answer(_unpack(a), up, stacked, last.v, x)
+                every = [(chunk, _unpack(a)) for chunk, a in _written(asked, k, "chunk", "asked")]
+                x, _ = rest_contexts([a for _, a in every])
+                for (chunk, a), at in zip(every, shard.places([a for _, a in every]) if every else []):
+                    c, p = shard.answer(a | {"at": at}, up, stacked, last.v, x)
                     yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([k], pa.int32()), pa.array([_pack(c=c.astype(np.int64), p=p.astype(np.float32))], pa.binary())], ["chunk", "shard", "answer"])
                 del shard, every
                 _give_back()
@@ -874,7 +962,7 @@ def score_texts(
     n_train, v = last.n, last.v
 
     def score(key, left, right):
-        ids, texts = left["ids"][0], _unpack(left["texts"][0].as_py())
+        ids, texts = left["ids"][0], _unpack(_written(kept, key[0].as_py(), "tokens", "texts", "chunk")[0][1])
         got = [_unpack(a.as_py()) for _, a in sorted(zip(right["shard"].to_pylist(), right["answer"]), key=lambda x: x[0])]
         counts, p = np.concatenate([g["c"] for g in got]), np.concatenate([g["p"] for g in got])
         _, _, _, place, _, _, _, where = _pairs(texts, inventory, shards, True)
@@ -893,5 +981,5 @@ def score_texts(
         )
 
     out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
-    scored = chunks.select("chunk", "ids", "texts").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
+    scored = chunks.select("chunk", "ids").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, out)
     return scored.withColumnRenamed("id", id_col)
