@@ -106,3 +106,35 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         storage.shared_folder(Session(), "x")
+
+
+@pytest.mark.parametrize("lane", ["text", "code"])
+def test_grams_take_little_disk(spark, tmp_path, monkeypatch, lane):
+    """Grams are kept as numbers, and once their pairs are known only those that more than one class has."""
+    r = random.Random(5)
+    rows = [(i, " ".join(["all", "of", "them", "begin", "with", "these", "words", *(f"word{r.randrange(10**6)}" for _ in range(400))])) for i in range(100)] + [(1000, "one more")]
+    rows.append((2000, rows[0][1] + " and more"))
+    monkeypatch.setattr(compare, "shared_folder", lambda *_: f"file://{tmp_path}/{lane}")
+    df = spark.createDataFrame(rows, "id long, text string")
+    pairs = compare.text_pairs(df, "id", "text") if lane == "text" else compare.containment_pairs(df, "id", "text")
+    assert [(p.a, p.b) for p in pairs.collect()] == [(0, 2000)]
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < sum(len(t) for _, t in rows) / 8
+
+
+def test_grams_in_python_are_those_of_spark(spark):
+    texts = ["Straße ΑΒΓ x_y Ⅷ ½ 中文字 áb 10th  λόγος، नमस्ते İzmir ǅ", "one", "a b", "", "x = f(a_1, 22) # ünï\n\tif (x) { y }", "a a a a a a a a"]
+    low = spark.createDataFrame([(t,) for t in texts], "t string").select("t", compare.F.lower("t").alias("l"), compare.words(compare.F.col("t")).alias("w"), compare.fingerprints(compare.F.col("t")).alias("f"), compare.tokens(compare.F.col("t")).alias("k"))
+    for r in low.collect():
+        grams_ = {tuple(r.w[i : i + 3]) for i in range(max(1, len(r.w) - 2))} if r.w else set()
+        assert len(compare.word_grams(r.l, 3)) == len(grams_)
+        assert compare.word_grams(r.l, 3).tolist() == compare.word_grams(" ".join(r.w), 3).tolist()
+        assert compare.code_tokens(r.t) == r.k and {f"{x & (1 << 64) - 1:016x}" for x in compare.code_grams(r.t, compare.K).tolist()} == set(r.f)
+
+
+def test_little_containment_is_counted_in_full(spark):
+    rows = texts(30)
+    df = spark.createDataFrame(rows, "id long, text string")
+    sets = {r.id: frozenset(r.f) for r in df.select("id", compare.fingerprints(df.text).alias("f")).collect()}
+    share = lambda x, y: 1000 * len(x & y) // len(x)
+    want = {(a, b, share(x, y), share(y, x)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
+    assert {tuple(r)[:4] for r in compare.containment_pairs(df, "id", "text", least=1, copies=True).collect()} == want
