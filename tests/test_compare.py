@@ -138,3 +138,12 @@ def test_little_containment_is_counted_in_full(spark):
     share = lambda x, y: 1000 * len(x & y) // len(x)
     want = {(a, b, share(x, y), share(y, x)) for a, x in sets.items() for b, y in sets.items() if a < b and x & y}
     assert {tuple(r)[:4] for r in compare.containment_pairs(df, "id", "text", least=1, copies=True).collect()} == want
+
+
+def test_base_grams_are_sent_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(compare, "KNOWN", 1)
+    base = spark.createDataFrame([("a b c d e f",), ("q r s t u",), (None,)], "t string")
+    items = spark.createDataFrame([(1, "x a b c d e f y q r s t u"), (2, "a b c d"), (3, None), (3, "a b c d e")], "id long, t string")
+    out = compare.exclude_base(items, base, "id", "t")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.total, r.removed, r.per_mille, r.text) for r in out.collect()} == {(1, 13, 11, 846, "x y"), (2, 4, 0, 0, "a b c d"), (3, 0, 0, 0, None), (3, 5, 5, 1000, "")}
