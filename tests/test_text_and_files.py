@@ -8,6 +8,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,3 +309,21 @@ def test_history(spark, tmp_path):
     h.set("lang", "en")
     h.set("lang", "ja")
     assert h.get("lang") == "ja" and h.get("none") is None
+
+
+@pytest.mark.parametrize("make", [lambda df: redact.redact(df, "id", "t"), lambda df: gate.visible_text(df, "id", "t")])
+def test_batches_are_worked_on_in_parts(spark, make):
+    """What a task has in hand doesn't grow with the batch."""
+
+    class Frame:
+        dtypes = [("id", "bigint"), ("t", "string")]
+        select = lambda self, *_: self
+        withColumnRenamed = lambda self, *_: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["a@b.org <p>x</p>"] * 999 + [None])], ["id", "t"])
+    out = list(make(Frame()).run(iter([batch])))
+    assert max(b.num_rows for b in out) <= redact.ROWS and [i for b in out for i in b.column(0).to_pylist()] == list(range(1000))
